@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from flowlark.llm.common import shuffle_partitions, small_batches
 
@@ -122,7 +123,6 @@ def likeness(a: str, b: str) -> float:
 def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """df plus the fingerprint of each whole text (null counts as empty). Equal texts get equal fingerprints."""
     small_batches(df.sparkSession)
-    i = df.columns.index(text)
 
     def run(batches):
         for b in batches:
@@ -131,7 +131,7 @@ def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint"
 
     df = df.select([F.col(f"`{c}`") for c in df.columns if c != out])
     i = df.columns.index(text)
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 _PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
