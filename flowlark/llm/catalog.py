@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlark.llm import bpe, embeddings, fingerprints, linededup, mixing, ngramjoin, pii, warc
+from flowlark.llm import bpe, embeddings, fingerprints, linededup, lm, mixing, ngramjoin, pii, toxicity, warc
 from flowlark.llm.common import materialise, table
 
 
@@ -34,6 +34,10 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,6 +46,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -58,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_bpe_encode_decode": op2_bpe_encode_decode,
     "op3_warc_archives": op3_warc_archives,
+    "op4_toxicity": op4_toxicity,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
