@@ -29,7 +29,7 @@ COLUMNS = FILTERS * sum(WIDTHS)
 #: At most so many labelled documents of each label are collected for training, those with the least hashed ids.
 SAMPLE = 3000
 THRESHOLD = 0.7
-PAD = 2
+PAD = 3  # zero words after a text: every filter has a position, also in an empty one
 
 # Frequent function words of the languages that have a threshold of their own.
 FUNCTION_WORDS = (
@@ -126,7 +126,8 @@ class TextCNN:
                 x = self.e[rows].sum(1)
                 x = np.concatenate([x, np.zeros((PAD, DIM), dtype=np.float32)])
                 act = self._conv(x)
-                at = np.stack([act[s:z].argmax(0) + s for s, z in zip(start[:-1], start[1:], strict=True)])
+                # a filter of width k stops k - 1 rows before the text's padding ends, so that no other text is seen
+                at = np.stack([np.concatenate([act[s : z - k + 1, i * FILTERS : (i + 1) * FILTERS].argmax(0) + s for i, k in enumerate(WIDTHS)]) for s, z in zip(start[:-1], start[1:], strict=True)])
                 h = np.take_along_axis(act, at, 0)
                 up = h > 0
                 h = h * up
