@@ -411,9 +411,9 @@ def flow_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""x AS (SELECT 1) SELECT id, string_agg(printf('%04x', k * 16), ',' ORDER BY k) AS offsets, max(CASE WHEN k = 0 THEN '  ff ff ff ff ff ff 00 11  22 33 44 55 08 00 45 00  |........"3DU..E.|' END) AS first_line
-FROM (SELECT id, unnest(range((wire_len + 15) // 16)) AS k FROM packets WHERE id % 50 = 0) GROUP BY id""")
+FROM (SELECT id, unnest(range((wire_len + 15) // 16)) AS k FROM packets) GROUP BY id""")
 def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = capture.sample(frames(packets(spark, sf_dir)), 50).select("id", F.split(net.hex_dump(F.col("data")), "\n").alias("l"))
+    rows = frames(packets(spark, sf_dir)).select("id", F.split(net.hex_dump(F.col("data")), "\n").alias("l"))
     return rows.select("id", F.array_join(F.transform("l", lambda x: F.substring(x, 1, 4)), ",").alias("offsets"), F.substring(F.col("l")[0], 5, 100).alias("first_line"))
 
 
@@ -423,11 +423,11 @@ def dashboard_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.dashboard_ticks(packets(spark, sf_dir)).select("tick", "packets", F.array_size("top_flows").cast("long").alias("n_top"))
 
 
-@query(f"""{_TICK}, s AS (SELECT tick, count(*) AS n FROM t WHERE id % 10 = 0 GROUP BY tick) SELECT t.tick, count(*) AS packets, coalesce(any_value(s.n), 0) AS n_samples FROM t LEFT JOIN s USING (tick) GROUP BY t.tick""")
+@query(f"""{_TICK}, s AS (SELECT tick, count(*) AS n FROM t GROUP BY tick) SELECT t.tick, count(*) AS packets, coalesce(any_value(s.n), 0) AS n_samples FROM t LEFT JOIN s USING (tick) GROUP BY t.tick""")
 def frames_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
     found = anomaly.describe(anomaly.flood_alerts(p, **FLOOD), anomaly.scan_alerts(p, **SCAN))
-    rows = capture.frames_per_tick(ticks.tick_stats(p), capture.sample(p, 10), found)
+    rows = capture.frames_per_tick(ticks.tick_stats(p), capture.sample(p, 1), found)
     return rows.select("tick", "packets", F.coalesce(F.array_size("samples"), F.lit(0)).cast("long").alias("n_samples"))
 
 
