@@ -36,11 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def materialise(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    group_bytes: size of row groups, for tables of large rows whose reads should be split finely.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowlark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.llm.common import crc_bucket, materialise, shuffle_partitions, words_of
-from flowlark.llm.wordblocks import BLOCK_CHARS, block_docs, block_words, joined, meet
+from flowlark.llm.wordblocks import BLOCK_CHARS, block_tables, joined, meet
 
 SUFFIXES = 24
 BANDS = 3
@@ -37,6 +37,8 @@ CONTEXTS = (1 << 14) - 1
 SLICES = 48
 STEP_TOKENS = 16_384
 ROUNDS = 2
+#: Row groups of the token table, so that its reads are split evenly.
+GROUP_BYTES = 4 << 20
 _END_WORD = " "  # no word has a blank
 
 
@@ -144,7 +146,7 @@ def _assemble(stats: Statistics):
     def build(a, b, n_words):
         c = np.frombuffer(b"".join(a), dtype="<i8")
         if len(c) != n_words:
-            raise ValueError("the two reads of the documents differ; write them as a table first")
+            raise ValueError("words and documents of a block do not belong together")
         return c, *stats.describe(c, np.frombuffer(b"".join(b), dtype="<u4"))
 
     def run(batches):
@@ -175,12 +177,13 @@ def _chunks(batches):
 
 
 def _probabilities(theta: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = theta[rows[0]] + theta[rows[1]]
-    z += theta[rows[2]]
+    z = np.take(theta, rows[0], axis=0)
+    z += np.take(theta, rows[1], axis=0)
+    z += np.take(theta, rows[2], axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -80, 80, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
     return z
 
 
@@ -208,17 +211,17 @@ def _expected(theta, bias):
 
     def run(batches):
         t, b = theta.value, bias.value
-        out = np.zeros((FEATURES * ROWS, CLASSES))
+        out = np.zeros((FEATURES, CLASSES, ROWS))
         for _, flags, lens, _, _, _, rows in _chunks(batches):
             rows = rows[:, np.repeat(flags & 1 == 1, lens)]
             for a in range(0, rows.shape[1], STEP_TOKENS):
                 r = rows[:, a : a + STEP_TOKENS]
-                p = _probabilities(t, b, r)
-                for x in r:
-                    order = np.argsort(x, kind="stable")
-                    first = np.flatnonzero(np.diff(x[order], prepend=-1))
-                    out[x[order][first]] += np.add.reduceat(p[order], first, axis=0)
-        yield from _slices(out)
+                p = np.ascontiguousarray(_probabilities(t, b, r).T)
+                for f, x in enumerate(r):
+                    x = x - f * ROWS
+                    for c in range(CLASSES):
+                        out[f, c] += np.bincount(x, p[c], ROWS)
+        yield from _slices(out.transpose(0, 2, 1).reshape(-1, CLASSES))
 
     return run
 
@@ -284,18 +287,19 @@ def score_texts(docs: DataFrame, learn: Column | None = None, rounds: int = ROUN
     0); held_out rows are those that do not, but for null doc_ids, which neither
     train nor are held out. score is log10 P(text) of the model, base_score that
     of smoothed word frequencies. A null or empty text is its end alone. Without
-    training rows every word is unknown. docs has to be a plain read of a table.
+    training rows every word is unknown.
     """
     spark = docs.sparkSession
     flag = crc_bucket(F.col("doc_id"), 10) != 0 if learn is None else learn
     flag = F.when(F.col("doc_id").isNull(), False).otherwise(flag)
     n = shuffle_partitions(spark)
     parts = max(n, docs.rdd.getNumPartitions())
-    words = block_words(docs, parts, tokens, flag, chars).repartition(n, "part").sortWithinPartitions("part", "block")
+    words, texts = block_tables(docs, parts, tokens, flag, chars)
+    words = words.repartition(n, "part").sortWithinPartitions("part", "block")
     found = materialise(words.mapInArrow(_count, "block long, part int, a binary, b binary"), "counts")
     partly = found.where("block = -1").select("a").mapInArrow(_added, "a binary").repartition(SLICES).mapInArrow(_added, "a binary")
     stats = Statistics([r["a"] for r in partly.collect()])  # a row a task of the last stage
-    data = materialise(meet(found.where("block >= 0"), block_docs(docs, parts, tokens, flag, chars), n).mapInArrow(_assemble(stats), TOKEN_SCHEMA), "tokens")
+    data = materialise(meet(found.where("block >= 0"), texts, n).mapInArrow(_assemble(stats), TOKEN_SCHEMA), "tokens", GROUP_BYTES)
     theta, bias = (spark.sparkContext.broadcast(x) for x in fit(data, stats, rounds))
     scored = data.mapInArrow(_score(theta, bias), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(stats.n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import small_batches, words_of
+from flowlark.llm.common import materialise, small_batches, words_of
 
 BLOCK_CHARS = 32_000_000
 CHUNK_WORDS = 65_536
@@ -85,19 +85,54 @@ def _base(docs: DataFrame, flag) -> DataFrame:
     return docs.select(F.spark_partition_id().alias("p"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(flag, F.lit(False)).alias("flag"))
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str):
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _word_rows(block: int, now: _Block, words, part, flat):
+    """(block, part, words, counts) for each part that has words."""
+    sizes = np.fromiter(map(len, now.seqs), dtype=np.int64, count=len(now.seqs))
+    counts = np.bincount(flat, weights=np.repeat(np.array(now.flags), sizes), minlength=len(words)).astype("<i4")
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True):
+        yield block, int(part[a]), "\n".join(words[a:z]).encode(), counts[a:z].tobytes()
+
+
+def _doc_rows(block: int, now: _Block, words, flat):
+    """(block, chunk, n_words, ids, lens, flags, stream) for chunks of documents."""
+    sizes = np.fromiter(map(len, now.seqs), dtype=np.int64, count=len(now.seqs))
+    ends = np.cumsum(sizes)
+    a, chunk = 0, 0
+    while a < len(sizes):
+        start = ends[a] - sizes[a]
+        z = max(a + 1, int(np.searchsorted(ends, start + CHUNK_WORDS, side="right")))
+        null = np.array([i is None for i in now.ids[a:z]], dtype=np.uint8)
+        ids = np.array([i or 0 for i in now.ids[a:z]], dtype="<i8")
+        yield block, chunk, len(words), ids.tobytes(), sizes[a:z].astype("<i4").tobytes(), (np.array(now.flags[a:z], dtype=np.uint8) | (null << 1)).tobytes(), pack_ints(flat[start : ends[z - 1]])
+        a, chunk = z, chunk + 1
+
+
+def _in_batches(rows, schema: str, most: int):
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == most:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
+
+
 def block_words(docs: DataFrame, parts: int, split=words_of, flag=None, chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per block and part: its words joined by newlines, and how often each is in flagged documents."""
 
     def run(batches):
         for block, now in _blocks(batches, split, chars):
-            words, part, flat = now.close(parts)
-            sizes = np.fromiter(map(len, now.seqs), dtype=np.int64, count=len(now.seqs))
-            counts = np.bincount(flat, weights=np.repeat(np.array(now.flags), sizes), minlength=len(words)).astype("<i4")
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            rows = [(block, int(part[a]), "\n".join(words[a:z]).encode(), counts[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True)]
-            for i in range(0, len(rows), 64):
-                cols = list(zip(*rows[i : i + 64], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["block", "part", "words", "counts"])
+            yield from _in_batches(_word_rows(block, now, *now.close(parts)), WORDS_SCHEMA, 64)
 
     return _base(docs, F.lit(False) if flag is None else flag).mapInArrow(run, WORDS_SCHEMA)
 
@@ -112,21 +147,25 @@ def block_docs(docs: DataFrame, parts: int, split=words_of, flag=None, chars: in
     def run(batches):
         for block, now in _blocks(batches, split, chars):
             words, _, flat = now.close(parts)
-            sizes = np.fromiter(map(len, now.seqs), dtype=np.int64, count=len(now.seqs))
-            ends = np.cumsum(sizes)
-            a, chunk = 0, 0
-            while a < len(sizes):
-                start = ends[a] - sizes[a]
-                z = max(a + 1, int(np.searchsorted(ends, start + CHUNK_WORDS, side="right")))
-                ids = pa.array(now.ids[a:z], pa.int64())
-                null = np.array(ids.is_null().to_pylist(), dtype=np.uint8)
-                row = (block, chunk, len(words), np.asarray(ids.fill_null(0), dtype="<i8").tobytes(), sizes[a:z].astype("<i4").tobytes(), (np.array(now.flags[a:z], dtype=np.uint8) | (null << 1)).tobytes(), pack_ints(flat[start : ends[z - 1]]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in DOCS_SCHEMA.split(", ")])
-                a, chunk = z, chunk + 1
+            yield from _in_batches(_doc_rows(block, now, words, flat), DOCS_SCHEMA, 1)
 
     return _base(docs, F.lit(False) if flag is None else flag).mapInArrow(run, DOCS_SCHEMA)
 
 
+def block_tables(docs: DataFrame, parts: int, split=words_of, flag=None, chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """What block_words and block_docs give, from one read of docs, written to the shared folder (about half the size of the texts)."""
+    schema = WORDS_SCHEMA + ", " + DOCS_SCHEMA.partition(", ")[2]
+
+    def run(batches):
+        for block, now in _blocks(batches, split, chars):
+            words, part, flat = now.close(parts)
+            yield from _in_batches(((*r, *[None] * 6) for r in _word_rows(block, now, words, part, flat)), schema, 64)
+            yield from _in_batches(((r[0], None, None, None, *r[1:]) for r in _doc_rows(block, now, words, flat)), schema, 1)
+
+    both = materialise(_base(docs, F.lit(False) if flag is None else flag).mapInArrow(run, schema), "blocks")
+    return both.where("part is not null").select("block", "part", "words", "counts"), both.where("part is null").select("block", "chunk", "n_words", "ids", "lens", "flags", "stream")
+
+
 def meet(found: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Bring what was found for each (block, part) to its block's documents: one exchange by block, words before documents.
 
