@@ -56,11 +56,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when the files give fewer tasks than there are cores; otherwise leave them in place."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(2 * n)
-
-
 def crc_bucket(col, n: int):
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
