@@ -3,15 +3,16 @@
 A word's embedding is the sum of hashed rows for the word and its first three,
 four and five letters. Filters of width one to three run over the words, the
 maximum of each over the whole text goes through a ReLU into a logistic unit.
-Training is by minibatches on a bounded sample of labelled rows; each language's
-decision threshold is calibrated on a held-back part of the sample and mapped to
-the same score. The language is guessed from the text's function words, never
-read from a column.
+Training is by minibatches on a bounded sample of labelled rows. Each language's
+decision threshold comes from all usable labelled rows, counted by label,
+language and logit, and is mapped to the same score. The language is guessed from
+the text's function words, never read from a column.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import crc_bucket, small_batches
+from flowlark.llm.common import crc_bucket, materialise, small_batches
 
 ROWS = 1 << 17
 DIM = 8
@@ -29,6 +30,9 @@ COLUMNS = FILTERS * sum(WIDTHS)
 #: At most so many labelled documents of each label are collected for training, those with the least hashed ids.
 SAMPLE = 3000
 THRESHOLD = 0.7
+#: Logits are counted in steps of 1 / STEPS between -LARGEST and LARGEST, so that the counts are bounded at any input size.
+STEPS = 64
+LARGEST = 64
 PAD = 3  # zero words after a text: every filter has a position, also in an empty one
 
 # Frequent function words of the languages that have a threshold of their own.
@@ -80,6 +84,7 @@ class TextCNN:
         self.v = np.full(FILTERS * len(WIDTHS), 0.5, dtype=np.float32)
         self.c = np.float32(-1.0)
         self.limit = np.zeros(len(FUNCTION_WORDS) + 1)
+        self.learnt: frozenset[int] = frozenset()
 
     def _conv(self, x: np.ndarray) -> np.ndarray:
         """Responses at each position, for x with PAD zero rows at the end."""
@@ -90,7 +95,7 @@ class TextCNN:
         return out
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = 3, batch: int = 32, rate: float = 0.02, seed: int = 1) -> TextCNN:
-        """Three quarters of the examples train, the rest calibrates the thresholds."""
+        """Three quarters of the examples train, the rest calibrates the thresholds (train() does that again over all rows)."""
         if not texts or len(set(labels)) < 2:
             return self
         words = _Words()
@@ -158,18 +163,39 @@ class TextCNN:
                 ge[flat] += (total**2).sum(1, keepdims=True)
                 self.e[flat] -= rate * total / np.sqrt(ge[flat])
                 self.e[0] = 0
-        back = np.setdiff1d(np.arange(len(y)), train)
-        if len({labels[i] for i in back}) < 2:
-            back = np.arange(len(y))
+        self.learnt = frozenset(_key(texts[i]) for i in train)
         parts = self._words(table)
-        logits = np.array([self._logit(parts, docs[i]) for i in back])
-        tongues = np.array([_language(docs[i], tongue) for i in back])
-        pooled = _threshold(logits, y[back])
-        self.limit[:] = pooled
+        counts = Counter((labels[i], _language(docs[i], tongue), int(_step(self._logit(parts, docs[i]))), _key(texts[i]) in self.learnt) for i in range(len(y)))
+        return self.calibrate([(*k, n) for k, n in counts.items()])
+
+    def calibrate(self, counts: list[tuple[int, int, int, bool, int]]) -> TextCNN:
+        """Sets the thresholds from rows (label, language, logit in steps, whether the text trained the net, number of rows).
+
+        What trained the net has logits that are too good, so logits are taken
+        from the other rows, weighted to the number of all rows of their label
+        and language. Without other rows of both labels, all logits are taken.
+        """
+        if not counts:
+            return self
+        y, tongue, step, learnt, n = np.array(counts, dtype=np.int64).T
+        use = learnt == 0
+        if len(set(y[use])) < 2:
+            use = np.ones(len(y), dtype=bool)
+        if len(set(y[use])) < 2:
+            return self
+
+        def best(own: np.ndarray) -> float:
+            total = [n[own & (y == k)].sum() / max(n[own & use & (y == k)].sum(), 1) for k in (0, 1)]
+            at = own & use
+            z, inv = np.unique(-step[at], return_inverse=True)
+            weight = [np.bincount(inv, n[at] * (y[at] == k) * total[k], len(z)) for k in (0, 1)]
+            return _threshold(-z / STEPS, weight[1], weight[0])
+
+        self.limit[:] = best(np.ones(len(y), dtype=bool))
         for k in range(len(self.limit)):
-            own = tongues == k
-            if (y[back][own] > 0).sum() >= 10 and (y[back][own] == 0).sum() >= 10:
-                self.limit[k] = _threshold(logits[own], y[back][own])
+            own = tongue == k
+            if all(n[own & use & (y == v)].sum() >= 10 for v in (0, 1)):
+                self.limit[k] = best(own)
         return self
 
     def _words(self, rows: np.ndarray) -> np.ndarray:
@@ -189,17 +215,16 @@ class TextCNN:
             col += k * FILTERS
         return float(np.maximum(np.concatenate(top), 0) @ self.v + self.c)
 
-    def scorer(self, most: int = 200_000):
-        """A function from texts to scores in 0 to 1, where THRESHOLD is each language's threshold. It keeps at most so many words."""
+    def marker(self, most: int = 200_000):
+        """A function from texts to their logits and languages. It keeps at most so many words."""
         state: dict = {}
 
         def fresh() -> None:
             state.update(words=_Words(), parts=np.zeros((0, COLUMNS), dtype=np.float32), tongue=np.zeros(0, dtype=np.int64))
 
         fresh()
-        up = np.log(THRESHOLD / (1 - THRESHOLD))
 
-        def score(texts: list[str]) -> np.ndarray:
+        def mark(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(state["words"].rows) > most:
                 fresh()
             words = state["words"]
@@ -208,41 +233,100 @@ class TextCNN:
             if len(words.rows) > n:
                 state["parts"] = np.concatenate([state["parts"], self._words(np.array(words.rows[n:]))])
                 state["tongue"] = np.concatenate([state["tongue"], np.array(words.tongue[n:], dtype=np.int64)])
-            z = np.array([self._logit(state["parts"], d) - self.limit[_language(d, state["tongue"])] for d in docs], dtype=np.float64)
-            return 1 / (1 + np.exp(-np.clip(z + up, -40, 40)))
+            return np.array([self._logit(state["parts"], d) for d in docs], dtype=np.float64), np.array([_language(d, state["tongue"]) for d in docs], dtype=np.int32)
+
+        return mark
+
+    def scorer(self, most: int = 200_000):
+        """A function from texts to scores in 0 to 1, where THRESHOLD is each language's threshold. It keeps at most so many words."""
+        mark = self.marker(most)
+
+        def score(texts: list[str]) -> np.ndarray:
+            logits, tongues = mark(texts)
+            return _mapped(logits, tongues, self.limit)
 
         return score
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1; where several do, the middle of the gap."""
-    order = np.argsort(-logits, kind="stable")
-    z, hit = logits[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
-    cut = np.append(z[:-1] > z[1:], True)
-    k = int(np.argmax(np.where(cut, f1, -1)))
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode())
+
+
+def _step(logits):
+    return np.rint(np.clip(np.asarray(logits, dtype=np.float64), -LARGEST, LARGEST) * STEPS).astype(np.int32)
+
+
+def _mapped(logits: np.ndarray, tongues: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Scores in 0 to 1, THRESHOLD at each language's threshold."""
+    return 1 / (1 + np.exp(-np.clip(logits - limit[tongues] + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
+
+
+def _threshold(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Of distinct logits z, the highest first, and the rows of each: the cut with the best F1, in the middle of the gap below it."""
+    hit = np.cumsum(toxic)
+    f1 = 2 * hit / (hit + np.cumsum(clean) + toxic.sum())
+    k = int(np.argmax(f1))
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, usable=None) -> list[tuple[str, int]]:
-    """At most `sample` (text, label) rows of each label, those with the least hashed doc_ids; ids are chosen before texts are read."""
+def _labelled(labels: DataFrame, label: str = "toxic", usable=None) -> DataFrame:
+    """doc_id and y of all labelled documents, once each."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, usable=None) -> list[tuple[str, int]]:
+    """At most `sample` (text, label) rows of each label, those with the least hashed doc_ids; ids are chosen before texts are read."""
+    rows = _labelled(labels, label, usable)
     ids = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = ids[0].unionByName(ids[1]).select(F.col("doc_id").alias("t_id"), "y")
     got = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("t_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").dropDuplicates(["doc_id"]).collect()
     return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_part: int | None = 1, sample: int = SAMPLE) -> TextCNN:
-    """The classifier, trained on the driver from labelled rows with crc32(doc_id as text) mod 3 other than held_out_part."""
-    usable = None if held_out_part is None else crc_bucket(F.col("doc_id"), 3) != held_out_part
-    rows = training_rows(docs, labels, sample=sample, usable=usable)
+def _usable(held_out_part: int | None):
+    return None if held_out_part is None else crc_bucket(F.col("doc_id"), 3) != held_out_part
+
+
+def _net(docs: DataFrame, labels: DataFrame, held_out_part: int | None, sample: int) -> TextCNN:
+    """The net, with thresholds from its sample only."""
+    rows = training_rows(docs, labels, sample=sample, usable=_usable(held_out_part))
     return TextCNN().fit([t for t, _ in rows], [y for _, y in rows])
 
 
+def _marks(docs: DataFrame, model: TextCNN) -> DataFrame:
+    """doc_id, logit, tongue (index of the language) and learnt (whether the text trained the net), a row per row; a map."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    fitted = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        mark, learnt = fitted.value.marker(), fitted.value.learnt
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            logits, tongues = mark(texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logits, pa.float64()), pa.array(tongues, pa.int32()), pa.array([_key(t) in learnt for t in texts], pa.bool_())], names=["doc_id", "logit", "tongue", "learnt"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, logit double, tongue int, learnt boolean")
+
+
+def _calibrated(model: TextCNN, marks: DataFrame, labels: DataFrame, held_out_part: int | None) -> TextCNN:
+    """model with thresholds from all usable labelled rows. The join has no texts; as many counts as there are logit steps come to the driver at most."""
+    rows = _labelled(labels, usable=_usable(held_out_part)).select(F.col("doc_id").alias("l_id"), "y")
+    step = F.rint(F.greatest(F.least(F.col("logit"), F.lit(float(LARGEST))), F.lit(float(-LARGEST))) * STEPS).cast("int").alias("step")
+    counts = marks.join(rows, F.col("doc_id") == F.col("l_id")).groupBy("y", "tongue", step, "learnt").count().collect()
+    return model.calibrate([tuple(r) for r in counts])
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out_part: int | None = 1, sample: int = SAMPLE) -> TextCNN:
+    """The classifier, from labelled rows with crc32(doc_id as text) mod 3 other than held_out_part: the net is trained on the driver on at most `sample` rows of each label, the thresholds come from all rows."""
+    model = _net(docs, labels, held_out_part, sample)
+    usable = F.col("doc_id").isNotNull() if held_out_part is None else _usable(held_out_part)
+    return _calibrated(model, _marks(docs.where(usable), model), labels, held_out_part)
+
+
 def score(docs: DataFrame, model: TextCNN, text: str = "text", out: str = "score") -> DataFrame:
     """docs plus the score of each whole text (null or empty: that of no words). Rows stay as they are; a column named out is replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -268,6 +352,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null doc_id is never held out and never a training row; null and empty
     texts get the score of no words; repeated rows each get a row.
     """
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels)).drop("text")
-    held = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    part = 1
+    model = _net(docs, labels, part, SAMPLE)
+    marks = materialise(_marks(docs, model), "toxicity")
+    limit = _calibrated(model, marks, labels, part).limit
+
+    def run(batches):
+        for b in batches:
+            s = _mapped(b.column(1).to_numpy(), b.column(2).to_numpy(), limit)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+
+    held = F.coalesce(crc_bucket(F.col("doc_id"), 3) == part, F.lit(False))
+    scored = marks.select("doc_id", "logit", "tongue").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

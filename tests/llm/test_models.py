@@ -113,6 +113,23 @@ def test_held_out_labels_do_not_matter(spark, docs, sf_dir):
     assert a == {r.doc_id: r.score for r in toxicity.classify(docs, flipped).collect()}
 
 
+def test_toxicity_thresholds_are_those_of_all_rows(spark, labelled):
+    """The cut is that of the labels' true shares, however few rows train the net."""
+    docs = spark.createDataFrame([(i, f"the {t}" if i % 2 else t) for i, t in enumerate(labelled[0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y and i % 7 == 0 or i % 23 == 0)) for i, y in enumerate(labelled[1])], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, None, sample=40)
+    y = dict(map(tuple, labels.collect()))
+    rows = docs.collect()
+    z, tongue = model.marker()([r.text for r in rows])
+    fresh = np.array([toxicity._key(r.text) not in model.learnt for r in rows])
+    toxic = np.array([y[r.doc_id] == 1 for r in rows])
+    for k in (0, 4):  # English, and no language
+        own = tongue == k
+        weight = np.where(toxic, (own & toxic).sum() / (own & toxic & fresh).sum(), (own & ~toxic).sum() / (own & ~toxic & fresh).sum())
+        f1 = lambda cut: 2 * weight[own & fresh & toxic & (z >= cut)].sum() / (weight[own & fresh & (z >= cut)].sum() + (own & toxic).sum())  # noqa: B023, E731
+        assert f1(model.limit[k]) >= max(f1(c) for c in z[own & fresh]) - 0.01
+
+
 def base_scores(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None]) for i, t in rows]
