@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # The generators: looser than the base patterns, and overlapping.
 _RUN = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
+_GAP = re.compile(r"[\x20/]+")
 _OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+(?:\x20?[\[({](?:at|@)[\])}]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:\x20?[\[({](?:dot|\.)[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+", re.I)
 _LOOSE_IP = re.compile(r"[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}")
 _HINT = re.compile(r"@|[\[({]at|\bat\b[^.]{0,80}\bdot\b", re.I)
@@ -88,19 +90,20 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     out: set[tuple[int, int, int]] = set()
     for m in _RUN.finditer(text):
         a, z = m.span()
-        ends = [z]
-        for gap in re.finditer(r"[ /]", m.group()):
-            ends.append(a + gap.start())
-        starts = [a] + [a + g.end() for g in re.finditer(r"[ /]", m.group())]
-        # sub-spans between blanks; a run of n groups gives at most 6 n spans
+        gaps = [(a + g.start(), a + g.end()) for g in _GAP.finditer(m.group())]
+        starts, ends = [a, *(e for _, e in gaps)], [*(s for s, _ in gaps), z]
+        digits = [len(_NOT_DIGIT.sub("", text[s:e])) for s, e in zip(starts, ends, strict=True)]
+        # sub-spans between blanks; each group has a digit, so that at most 19 groups are looked at from each start
         for i, s in enumerate(starts):
-            for e in sorted(ends):
-                if e > s and sum(1 for t in starts if s < t < e) < 6:
-                    n = len(_NOT_DIGIT.sub("", text[s:e]))
-                    if 9 <= n <= 15:
-                        out.add((s, 3, e))
-                    if 13 <= n <= 19:
-                        out.add((s, 2, e))
+            n = 0
+            for e, d in zip(islice(ends, i, i + 19), islice(digits, i, i + 19), strict=True):
+                n += d
+                if n > 19:
+                    break
+                if 9 <= n <= 15:
+                    out.add((s, 3, e))
+                if n >= 13:
+                    out.add((s, 2, e))
     if "[.]" in text or "." in text:
         for m in _LOOSE_IP.finditer(text):
             out.add((m.start(), 1, m.end()))

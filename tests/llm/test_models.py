@@ -52,6 +52,14 @@ def test_added_spans():
     assert found("mail a.b@c.example.com") == []
 
 
+def test_candidates_of_many_groups():
+    whole = lambda t: {pii.KINDS[k] for s, k, e in pii.candidates(t) if (s, e) == (0, len(t))}
+    assert whole("00 33 1 23 45 67 89") == {"phone", "card"} and whole("06  12  34  56  78") == {"phone"}
+    assert whole("4 5 3 9 5 7 8 7 6 3 6 2 1 4 8 6 1 2 3") == {"card"} and whole("4 5 3 9 5 7 8 7 6 3 6 2 1 4 8 6 1 2 3 4") == set()
+    assert all(t[s] != " " and t[e - 1] != " " for t in ["1  234  567  89  01  23"] for s, _, e in pii.candidates(t))
+    assert len(pii.candidates("7 " * 10_000)) < 15 * 10_000  # in proportion to the length
+
+
 def test_pii_of_odd_rows(odd_docs, no_docs):
     assert pii.digest(pii.find_pii(odd_docs)).count() == odd_docs.count() and pii.find_pii(no_docs).count() == 0
     r = pii.digest(pii.find_pii(odd_docs)).where("doc_id = 2").first()
