@@ -82,7 +82,23 @@ _RUN = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
 _GAP = re.compile(r"[\x20/]+")
 _OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+(?:\x20?[\[({](?:at|@)[\])}]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:\x20?[\[({](?:dot|\.)[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+", re.I)
 _LOOSE_IP = re.compile(r"[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}")
-_HINT = re.compile(r"@|[\[({]at|\bat\b[^.]{0,80}\bdot\b", re.I)
+_AT = re.compile(r"\x20?[\[({](?:at|@)[\])}]|\x20at\x20|\x20?@", re.I)
+_LOCAL_LOOSE = re.compile(r"[A-Za-z0-9._%+-]", re.I)
+
+
+def _obfuscated(text: str) -> list[tuple[int, int]]:
+    """What the whole pattern finds, looked for from each separator outwards, as in _emails."""
+    out, free, at = [], 0, _AT.search(text)
+    while at:
+        start = at.start()
+        while start > free and _LOCAL_LOOSE.match(text, start - 1):
+            start -= 1
+        m = _OBFUSCATED.match(text, start) if start < at.start() else None
+        if m:
+            free = m.end()
+            out.append((start, free))
+        at = _AT.search(text, max(at.start() + 1, free if m else 0))
+    return out
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
@@ -107,9 +123,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if "[.]" in text or "." in text:
         for m in _LOOSE_IP.finditer(text):
             out.add((m.start(), 1, m.end()))
-    if _HINT.search(text):
-        for m in _OBFUSCATED.finditer(text):
-            out.add((m.start(), 0, m.end()))
+    out.update((a, 0, z) for a, z in _obfuscated(text))
     return sorted(out)
 
 

@@ -60,6 +60,17 @@ def test_candidates_of_many_groups():
     assert len(pii.candidates("7 " * 10_000)) < 15 * 10_000  # in proportion to the length
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b_", " at ", " dot ", "[at]", "(@)", "[.]", ".", "@", " ", "AT", "\u212a", "-", " {dot} "]), max_size=14).map("".join))
+def test_obfuscated_candidates_are_what_the_pattern_finds(text):
+    assert pii._obfuscated(text) == [m.span() for m in pii._OBFUSCATED.finditer(text)]
+
+
+def test_obfuscated_candidates_do_not_depend_on_other_text():
+    for t in ("jane at mail[.]com", "jane at mail.example dot com", "jane AT mail.com", "jane [at] mail[dot]com", "jane{@}mail.com"):
+        assert (0, 0, len(t)) in pii.candidates(t) and (0, 0, len(t)) in pii.candidates(f"{t} , x@y")
+
+
 def test_pii_of_odd_rows(odd_docs, no_docs):
     assert pii.digest(pii.find_pii(odd_docs)).count() == odd_docs.count() and pii.find_pii(no_docs).count() == 0
     r = pii.digest(pii.find_pii(odd_docs)).where("doc_id = 2").first()
