@@ -33,13 +33,15 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard of 0.8 or more on five-word grams, that with the least doc_id stays, once.
+    """Of rows linked by a Jaccard of 0.8 or more on five-word grams, that with the least doc_id stays (nulls last, then the least hash of the text), once.
 
-    Rows without a doc_id stay once per text.
+    Rows are told apart by a number of their own, so a repeated or null doc_id neither links rows nor drops them.
     """
-    kept = ngramjoin.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    rows = materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    groups = ngramjoin.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("g_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("row_").alias("row_"))
+    kept = rows.select("row_", rank.alias("rank")).join(groups, F.col("row_") == F.col("g_row")).groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row_").alias("k_row"))
+    return rows.join(kept, F.col("row_") == F.col("k_row"), "left_semi").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,16 @@ def test_stages(spark, docs, sf_dir, tmp_path):
     assert Counter(r.doc_id for r in after.collect()) == Counter(r.doc_id for r in before.collect())
 
 
+def test_one_row_of_each_group_whatever_its_doc_id(spark, sf_dir, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " more", "s"), (None, a + " else", "s"), (None, c, "s"), (None, c + " tail", "s"), (None, c, "s"), (3, b, "s"), (4, "", "s"), (4, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    out = dict(cp.STAGES)["ngram_jaccard_join"](spark, spark.read.parquet(str(tmp_path / "docs")), sf_dir)
+    got = [tuple(r)[:2] for r in out.collect()]
+    assert (1, a) in got and (1, b) in got and len(got) == 4
+    assert sum(i is None and t.startswith("c0") for i, t in got) == 1 and sum(i == 4 for i, _ in got) == 1
+
+
 def test_odd_documents_pass_through(spark, odd_docs, no_docs, sf_dir, tmp_path):
     for k, at in enumerate((odd_docs, no_docs)):
         for name, stage in cp.STAGES:
