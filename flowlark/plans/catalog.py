@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from flowlark.functions import decode, net, payloads
 from flowlark.operators import anomaly, capture, flow, ticks
@@ -409,6 +410,25 @@ def flow_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lambda p, t: F.get_json_object("json", p).cast(t)
     return rows.select(got("$.protocol", "string").alias("protocol"), got("$.endpoint_a.ip", "string").alias("a_ip"), got("$.endpoint_a.port", "long").alias("a_port"), got("$.endpoint_b.ip", "string").alias("b_ip"), got("$.endpoint_b.port", "long").alias("b_port"), got("$.bytes_total", "long").alias("bytes_total"))
 
+@query(f"""{_FLOWS}, {_STATE}, {_SEGMENTS}, {_RTT}, o AS (SELECT {_SNAPSHOT}, tcp_state, client, coalesce(retransmissions, 0) AS re, coalesce(out_of_order, 0) AS oo, rtt_last_ms AS l, rtt_min_ms AS m, rtt_ewma_ms AS e, coalesce(rtt_samples, 0) AS n FROM f LEFT JOIN tcp USING ({_K}) LEFT JOIN ro USING ({_K}) LEFT JOIN rt USING ({_K}))
+SELECT concat(protocol, ',', a_ip, ',', a_port, ',', b_ip, ',', b_port, ',', printf('%.6f', first_seen), ',', printf('%.6f', last_seen), ',', printf('%.6f', duration_secs), ',', packets_a_to_b, ',', packets_b_to_a, ',', bytes_a_to_b, ',', bytes_b_to_a, ',', packets_total, ',', bytes_total, ',', printf('%.3f', avg_bps), ',',
+ coalesce(tcp_state, ''), ',', coalesce(client, ''), ',', re, ',', oo, ',', coalesce(printf('%.3f', l), ''), ',', coalesce(printf('%.3f', m), ''), ',', coalesce(printf('%.3f', e), ''), ',', n) AS line FROM o""")
+def flow_csv_export_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns; flow_csv_export leaves rtt_ewma_ms empty, as its SQL does."""
+    return capture.csv_lines(flow.full_table(packets(spark, sf_dir)))
+
+
+@query(ORACLES["flow_table_full"].removeprefix(f"WITH packets AS ({PACKETS_SQL}), {_KEYED}, "))
+def flow_json_export_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the full table, read back from its JSON."""
+    table = flow.full_table(packets(spark, sf_dir))
+    rest = [c for c in table.columns if c not in ("protocol", *flow.KEY)]
+    end = lambda s: StructType([StructField(k, table.schema[f"{s}_{k}"].dataType) for k in ("ip", "port")])
+    schema = StructType([table.schema["protocol"], StructField("endpoint_a", end("a")), StructField("endpoint_b", end("b")), *[table.schema[c] for c in rest]])
+    j = capture.json_rows(table).select(F.from_json("json", schema).alias("j"))
+    keys = [F.col("j.protocol"), *[F.col(f"j.endpoint_{s}.{k}").alias(f"{s}_{k}") for s in "ab" for k in ("ip", "port")]]
+    return j.select(*keys, *[F.col(f"j.{c}") for c in rest]).withColumn("rtt_ewma_ms", F.round("rtt_ewma_ms", 6))
+
 
 @query("""x AS (SELECT 1) SELECT id, string_agg(printf('%04x', k * 16), ',' ORDER BY k) AS offsets, max(CASE WHEN k = 0 THEN '  ff ff ff ff ff ff 00 11  22 33 44 55 08 00 45 00  |........"3DU..E.|' END) AS first_line
 FROM (SELECT id, unnest(range((wire_len + 15) // 16)) AS k FROM packets) GROUP BY id""")
