@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from flowlark.llm.common import shuffle_partitions, small_batches
+from flowlark.llm.common import shuffle_partitions, bounded_batches
 from flowlark.llm.wordblocks import BLOCK_CHARS, block_docs, block_words, joined, meet
 
 
@@ -110,7 +110,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     Null ids give a null text, no ids an empty one. An id outside the vocabulary is an error.
     """
     spark = encoded.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     table = spark.sparkContext.broadcast(pieces(path))  # one row an id: the size of the vocabulary
     df = encoded.select([F.col(f"`{c}`") for c in encoded.columns if c != out])
     i = df.columns.index(ids)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from flowlark.llm.common import shuffle_partitions, small_batches
+from flowlark.llm.common import shuffle_partitions, bounded_batches
 
 WINDOW = 7
 MAX_PIECES = 64
@@ -122,7 +122,7 @@ def likeness(a: str, b: str) -> float:
 
 def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """df plus the fingerprint of each whole text (null counts as empty). Equal texts get equal fingerprints."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -186,7 +186,7 @@ def compare_with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     follows it, and a range is streamed once, holding one row at a time.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = buckets or 4 * shuffle_partitions(spark)
     cuts = (base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20_000)).first()[0] or []) if n > 1 else []

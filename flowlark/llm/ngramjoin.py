@@ -7,18 +7,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.bucketjoin import members, resolve, verify
-from flowlark.llm.common import materialise, small_batches, words_of
+from flowlark.llm.bucketjoin import grouped, key_id, members, resolve, row_key, verify
+from flowlark.llm.common import bounded_batches, materialise, release, trimmed, words_of
 
 N = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
-#: Up to so many ids of documents that share a bucket, texts are filtered by a broadcast of ids (8 bytes each) before they move.
-BROADCAST_IDS = 1_000_000
+#: A task remembers the hashes of so many words.
+CACHE = 100_000
 
 
 def bands_rows(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -33,6 +33,8 @@ def bands_rows(similarity: float = SIMILARITY, recall: float = RECALL, most: int
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode())
         return h
 
@@ -76,11 +78,6 @@ def band_keys(grams: np.ndarray, bands: int, rows: int, perm) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _pair(grams: np.ndarray) -> tuple[int, int]:
-    d = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def linked(payloads: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
     """Matrix of Jaccard >= similarity between sets (sorted 64-bit hashes)."""
     sets = [np.frombuffer(p, dtype=np.uint64) for p in payloads]
@@ -110,63 +107,72 @@ def linked(payloads: list[bytes], similarity: float = SIMILARITY) -> np.ndarray:
     return both >= similarity * union - 1e-9
 
 
-def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_grams, class_id, n_links, component_id, kept: one row per row of docs.
+def groups(rows: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """key, n_grams, class_key, links, component: one row per row of rows (key from row_key() with a hash of the text in its tie, text).
 
-    Documents with equal n-gram sets are one class (class_id: its least doc_id).
-    Links are pairs with Jaccard >= similarity found by banding at the given
-    recall and verified on whole sets; n_links counts linked other documents,
-    copies included; component_id is the least doc_id reachable by links; kept
-    marks component_id itself (all rows of that doc_id). Texts without words,
-    null ones too, are one class without links to others. Rows with a null
-    doc_id, or repeated ones, count as documents; a null doc_id has no class of
-    its own and is kept only where no other document is in its class. Extra
-    columns are ignored.
+    Rows with equal n-gram sets are one class (class_key: its least key). Links
+    are pairs with Jaccard >= similarity found by banding at the given recall and
+    verified on whole sets; links counts linked other rows, copies included;
+    component is the least key reachable by links. Sets are made twice: for the
+    signatures of every row, and for the rows that stand for a class in a shared
+    bucket, whose texts are all that moves.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    bands, rows = bands_rows(similarity, recall)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    bounded_batches(rows.sparkSession)
+    bands, width = bands_rows(similarity, recall)
+    rows = rows.select("key", "text")
 
+    @trimmed
     def sign(batches):
-        hashes, perm = _Hashes(), _permutations(bands * rows)
+        hashes, perm = _Hashes(), _permutations(bands * width)
         for b in batches:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(hashes) > 500_000:
-                    hashes.clear()
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 g = shingles(t, n, hashes)
-                out.append((i, len(g), *_pair(g), band_keys(g, bands, rows, perm) if len(g) else None))
+                out.append((k, len(g), hashlib.blake2b(g.tobytes(), digest_size=16).digest(), band_keys(g, bands, width, perm) if len(g) else None))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["doc_id", "n_grams", "x", "y", "keys"])
-
-    signed = materialise(base.mapInArrow(sign, "doc_id long, n_grams long, x long, y long, keys array<long>"), "signatures")
-    classes = materialise(signed.groupBy("x", "y").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.first("keys").alias("keys")), "classes")
-    at = materialise(members(classes.where("id is not null and keys is not null").select("id", "keys")), "members")
-    texts = base
-    if at.count() <= broadcast_ids:
-        texts = base.join(F.broadcast(at.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "n_grams", "hash", "buckets"])
 
+    @trimmed
     def sets(batches):
         hashes = _Hashes()
         for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                g = shingles(t, n, hashes)
-                out.append((i, *_pair(g), g.tobytes()))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["s_id", "s_x", "s_y", "payload"])
-
-    # the representative's text once, were its row repeated; sets move only for documents that share a bucket
-    grams = texts.mapInArrow(sets, "s_id long, s_x long, s_y long, payload binary")
-    items = classes.join(at, "id")
-    items = items.join(grams, (F.col("id") == F.col("s_id")) & (F.col("x") == F.col("s_x")) & (F.col("y") == F.col("s_y"))).dropDuplicates(["id", "x", "y"]).select("id", "weight", "keys", "payload", "tiles")
-    links, parts = resolve(verify(items, lambda p: linked(p, similarity)))
-    links, parts = links.withColumnRenamed("id", "l_id"), parts.withColumnRenamed("id", "p_id")
-    known = classes.select("x", "y", "id", "weight").join(links, F.col("id") == F.col("l_id"), "left").join(parts, F.col("id") == F.col("p_id"), "left")
-    known = known.select(F.col("x").alias("k_x"), F.col("y").alias("k_y"), F.col("id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = signed.drop("keys").join(known, (F.col("x") == F.col("k_x")) & (F.col("y") == F.col("k_y")))
-    return out.select("doc_id", "n_grams", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+            grams = [shingles(t, n, hashes).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], names=["key", "payload"])
+
+    signed = materialise(rows.mapInArrow(sign, "key binary, n_grams long, hash binary, buckets array<long>"), "signatures")
+    classes = signed.groupBy("hash").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.first("buckets").alias("buckets"), F.first("n_grams").alias("n_grams"))
+    classes = materialise(classes, "classes")
+    at = materialise(members(classes.where("buckets is not null").select("key", "buckets", (F.col("n_grams") * 8).alias("bytes"))), "members")
+    # the texts meet the narrow table of members by key, whose every row is of one text: equal keys are repeated rows
+    texts = rows.join(at.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    items = classes.select("key", "weight", "buckets").join(texts.mapInArrow(sets, "key binary, payload binary"), "key")
+    links, parts = resolve(verify(at, items, lambda p: linked(p, similarity)))
+    release(at)
+    known = grouped(classes, links, parts)
+    return signed.select("key", "n_grams", F.col("hash").alias("s_hash")).join(known, F.col("s_hash") == F.col("hash")).select("key", "n_grams", "class_key", "links", "component")
+
+
+def text_key(doc_id: Column, text: Column, *more: Column) -> Column:
+    """row_key() of a document; more columns tell apart rows that agree in both."""
+    tie = F.md5(text.cast("binary"))
+    return row_key(doc_id.cast("long"), F.md5(F.concat(tie, F.to_json(F.struct(*more))).cast("binary")) if more else tie)
+
+
+def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, n_grams, class_id, n_links, component_id, kept: one row per row of docs.
+
+    Documents with equal n-gram sets are one class (class_id: its least doc_id).
+    Links are pairs with Jaccard >= similarity found by banding at the given
+    recall and verified on whole sets; n_links counts linked other documents,
+    copies included; component_id is the least doc_id reachable by links; kept
+    marks the row of component_id whose text (by MD5) is the least of its
+    component's, repeats of that row included. Texts without words, null ones
+    too, are one class without links to others. A document is a row: a repeated
+    doc_id neither links rows nor hides links, and null doc_ids come last, so
+    that an id of null is that of a group without any doc_id. Extra columns are
+    ignored.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = groups(docs.select(text_key(F.col("doc_id"), text).alias("key"), text.alias("text")), n, similarity, recall)
+    return out.select(key_id(F.col("key")).alias("doc_id"), "n_grams", key_id(F.col("class_key")).alias("class_id"), F.col("links").alias("n_links"), key_id(F.col("component")).alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))

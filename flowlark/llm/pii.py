@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.llm.boosting import BoostedTrees
-from flowlark.llm.common import small_batches
+from flowlark.llm.common import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -251,7 +251,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     a row; a null doc_id stays null; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     fitted = spark.sparkContext.broadcast(model())  # 60 trees of depth 3
     struct = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
     show = lambda rows: pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in r] for r in rows], struct)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import crc_bucket, materialise, small_batches
+from flowlark.llm.common import crc_bucket, materialise, bounded_batches
 
 ROWS = 1 << 17
 DIM = 8
@@ -299,7 +299,7 @@ def _net(docs: DataFrame, labels: DataFrame, held_out_part: int | None, sample:
 def _marks(docs: DataFrame, model: TextCNN) -> DataFrame:
     """doc_id, logit, tongue (index of the language) and learnt (whether the text trained the net), a row per row; a map."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     fitted = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -332,7 +332,7 @@ def score(docs: DataFrame, model: TextCNN, text: str = "text", out: str = "score
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     df = docs.select([F.col(f"`{c}`") for c in docs.columns if c != out])
     i = df.columns.index(text)
     fitted = spark.sparkContext.broadcast(model)  # ROWS x DIM floats: 4 MB

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import small_batches
+from flowlark.llm.common import bounded_batches
 
 # Fixed values of the formats.
 DICT_FRAME = 0x184D2A5D
@@ -79,7 +79,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     an empty payload. A task holds one archive (archive_bytes before
     compression, or one longer record) at a time.
     """
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def archive(records: list[bytes]) -> bytes:
         samples, size = [], 0

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import materialise, small_batches, words_of
+from flowlark.llm.common import materialise, bounded_batches, words_of
 
 BLOCK_CHARS = 32_000_000
 CHUNK_WORDS = 65_536
@@ -81,7 +81,7 @@ def _blocks(batches, split, chars: int):
 
 
 def _base(docs: DataFrame, flag) -> DataFrame:
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.spark_partition_id().alias("p"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(flag, F.lit(False)).alias("flag"))
 
 

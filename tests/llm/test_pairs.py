@@ -44,9 +44,22 @@ def brute(rows):
 
 def test_ngram_join(docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    for most in (0, 1_000_000):
-        got = ngramjoin.near_duplicates(docs, broadcast_ids=most).collect()
-        assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == brute(rows)
+    got = ngramjoin.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are documents, whatever their ids: links are as many as with ids of their own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t, k: t + f" tail{k}"
+    rows = [(5, a), (5, near(a, 1)), (7, b), (7, near(b, 1)), (9, c), (9, near(c, 1)), (11, d), (11, near(d, 1))]
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == [(i, 1, i) for i in (5, 5, 7, 7, 9, 9, 11, 11)]
+    assert sorted(r.doc_id for r in got if r.kept) == [5, 7, 9, 11]
+    rows = [(None, a), (None, near(a, 1)), (3, near(a, 2)), (None, b), (None, b), (-(2**63), c), (2**63 - 1, near(c, 1)), (-1, d), (1, near(d, 1)), (1, near(d, 1))]
+    got = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 2, 3), (None, 2, 3), (3, 2, 3), (None, 1, None), (None, 1, None), (-(2**63), 1, -(2**63)), (2**63 - 1, 1, -(2**63)), (-1, 2, -1), (1, 2, -1), (1, 2, -1)]
+    assert sorted(map(str, ((r.doc_id, r.n_links, r.component_id) for r in got))) == sorted(map(str, want))
 
 
 def test_hot_group_in_tiles(spark, monkeypatch):
@@ -54,7 +67,7 @@ def test_hot_group_in_tiles(spark, monkeypatch):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*words[:100], f"own{i}", *words[100:]])) for i in range(90)] + [(100 + i, " ".join(words)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(bucketjoin.members, "__defaults__", (16,))
+    monkeypatch.setattr(bucketjoin, "TILE", 16)
     got = ngramjoin.near_duplicates(df).collect()
     assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == brute(rows)
     assert [r.doc_id for r in got if r.kept] == [0]
@@ -88,11 +101,33 @@ def test_jaccard_matrix(sets):
 def test_components(spark):
     r = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 160)]
-    got = {x.id: x.component for x in bucketjoin.components(spark.createDataFrame(edges, "id long, root long")).collect()}
+    key = lambda i: i.to_bytes(2, "big")
+    rows = spark.createDataFrame([(key(a), key(b)) for a, b in edges], "key binary, root binary")
+    got = {bytes(x.key): bytes(x.component) for x in bucketjoin.components(rows).collect()}
     root = groups(200, edges)
     used = {x for e in edges if e[0] != e[1] for x in e}
-    assert {i: got.get(i, i) for i in used} == {i: root[i] for i in used}
-    assert bucketjoin.components(spark.createDataFrame([], "id long, root long")).count() == 0
+    assert {i: got.get(key(i), key(i)) for i in used} == {i: key(root[i]) for i in used}
+    assert bucketjoin.components(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_recall_at_the_registered_setting(spark, single):
+    """Planted pairs at cosines just above the threshold, among unrelated vectors and a hot group, none below it."""
+    r = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(r.normal(size=(2500, 64)))
+    other = r.normal(size=base.shape)
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    cos = np.concatenate([np.full(1250, 0.9005), r.uniform(0.9005, 0.92, 750), np.full(500, 0.8995)])
+    near = cos[:, None] * base + np.sqrt(1 - cos**2)[:, None] * other
+    x = np.concatenate([base, near]).astype("<f4" if single else "<f8")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{'float' if single else 'double'}>").repartition(4)
+    got = {v.vec_id: v.n_links for v in embeddings.near_duplicates(df).collect()}
+    x = x.astype(np.float64)
+    true = x @ x.T >= 0.9 * np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+    np.fill_diagonal(true, False)
+    assert all(got[i] <= true[i].sum() for i in range(len(x))) and all(got[i] == 0 for i in range(2000, 2500))
+    assert sum(got.values()) >= 0.93 * true.sum() and true.sum() == 4000
 
 
 @pytest.fixture
@@ -105,7 +140,7 @@ def vectors():
 
 
 def test_embeddings(spark, vectors, monkeypatch):
-    monkeypatch.setattr(bucketjoin.members, "__defaults__", (16,))
+    monkeypatch.setattr(bucketjoin, "TILE", 16)
     x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     true = x @ x.T >= 0.9
     np.fill_diagonal(true, False)
