@@ -33,15 +33,17 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by a Jaccard of 0.8 or more on five-word grams, that with the least doc_id stays (nulls last, then the least hash of the text), once.
+    """Of rows linked by a Jaccard of 0.8 or more on five-word grams, that with the least doc_id stays (nulls last, then the least hash of its columns), once.
 
-    Rows are told apart by a number of their own, so a repeated or null doc_id neither links rows nor drops them.
+    A row is told apart by its doc_id and a hash of all its columns, so a repeated or null doc_id neither links rows nor
+    drops them, and rows that agree in all columns are one.
     """
-    rows = materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    groups = ngramjoin.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("g_row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("row_").alias("row_"))
-    kept = rows.select("row_", rank.alias("rank")).join(groups, F.col("row_") == F.col("g_row")).groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row_").alias("k_row"))
-    return rows.join(kept, F.col("row_") == F.col("k_row"), "left_semi").select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    key = ngramjoin.text_key(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), *(others or [F.lit(0)]))
+    rows = docs.withColumn("row_", key)
+    found = ngramjoin.groups(rows.select(F.col("row_").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
+    kept = found.where("key = component").select(F.col("key").alias("row_")).distinct()
+    return rows.join(kept, "row_", "left_semi").dropDuplicates(["row_"]).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
