@@ -4,8 +4,9 @@ Texts are split at ASCII blanks, which never stand inside a token of the word
 vocabulary, so a text's ids are the ids of its words in turn. Each distinct word
 is encoded once, in the one task its hash leads to; its ids go back to the
 blocks of documents that have it and join the documents by position. Decoding
-looks each id up in the table of pieces (id, piece), whose size is the
-vocabulary's, and joins the pieces.
+joins the ids to the table of pieces (id, piece) on the id: the table has the
+vocabulary's size and an entry for every id, so each task holds it whole and a
+batch's ids meet their pieces in one gather.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from flowlark.llm.common import shuffle_partitions, bounded_batches
-from flowlark.llm.wordblocks import BLOCK_CHARS, block_docs, block_words, joined, meet
+from flowlark.llm.common import bounded_batches, shuffle_partitions, trimmed
+from flowlark.llm.wordblocks import BLOCK_CHARS, block_docs, block_words, checksum, joined, meet, record_batch
 
 
 def _tokenizer(spec: str):
@@ -58,9 +60,10 @@ def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS) -> DataFrame:
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(_check(path))  # the size of the vocabulary file
-    n = shuffle_partitions(spark)
-    parts = max(n, docs.rdd.getNumPartitions())
+    parts = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
+    schema = "block long, part int, check long, a binary, b binary"
 
+    @trimmed
     def words(batches):
         tok = _tokenizer(spec.value)
         at, known = None, {}
@@ -74,17 +77,16 @@ def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS) -> DataFrame:
                 for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, dtype="<u2").tobytes()
                 got = [known[w] for w in found]
-                out.append((block, part, np.fromiter(map(len, got), dtype="<u4", count=len(got)).tobytes(), b"".join(got)))
+                check = int(np.uint64(checksum(text)).view(np.int64))
+                out.append((block, part, check, np.fromiter(map(len, got), dtype="<u4", count=len(got)).tobytes(), b"".join(got)))
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["block", "part", "a", "b"])
+                yield record_batch(out, schema)
 
-    def build(a, b, n_words):
+    def build(a, b):
         sizes = np.frombuffer(b"".join(a), dtype="<u4").astype(np.int64) // 2
-        if len(sizes) != n_words:
-            raise ValueError("the two reads of the documents differ; write them as a table first")
         return sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(b), dtype="<u2")
 
+    @trimmed
     def assemble(batches):
         for (sizes, starts, flat), ids, flags, n_words, at in joined(batches, build):
             size = sizes[at]
@@ -100,8 +102,8 @@ def encode(docs: DataFrame, path: str, chars: int = BLOCK_CHARS) -> DataFrame:
             for i in range(0, len(out), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 256], pa.int64(), mask=(flags[i : i + 256] & 2).astype(bool)), pa.array(out[i : i + 256], pa.binary())], names=["doc_id", "ids"])
 
-    found = block_words(docs, parts, chars=chars).select("block", "part", "words").repartition(n, "part").sortWithinPartitions("part").mapInArrow(words, "block long, part int, a binary, b binary")
-    return meet(found, block_docs(docs, parts, chars=chars), n).mapInArrow(assemble, "doc_id long, ids binary")
+    found = block_words(docs, parts, chars=chars).select("block", "part", "words").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(words, schema)
+    return meet(found, block_docs(docs, parts, chars=chars), parts).mapInArrow(assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -115,10 +117,15 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     df = encoded.select([F.col(f"`{c}`") for c in encoded.columns if c != out])
     i = df.columns.index(ids)
 
+    @trimmed
     def run(batches):
-        get = table.value.__getitem__
+        piece = pa.array(table.value, pa.string())
         for b in batches:
-            texts = [None if x is None else " ".join(map(get, np.frombuffer(x, dtype="<u4").tolist())) for x in b.column(i).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+            blobs = b.column(i).to_pylist()
+            sizes = np.fromiter((len(x or b"") // 4 for x in blobs), dtype=np.int64, count=len(blobs))
+            found = piece.take(pa.array(np.frombuffer(b"".join(x or b"" for x in blobs), dtype="<u4")))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), found)
+            texts = pc.if_else(b.column(i).is_null(), None, pc.binary_join(lists, " "))
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from flowlark.llm.common import shuffle_partitions, bounded_batches
+from flowlark.llm.common import bounded_batches, shuffle_partitions
 
 WINDOW = 7
 MAX_PIECES = 64

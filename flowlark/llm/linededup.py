@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from flowlark.llm.common import materialise
 
 MAX_RATIO = 0.1
-MIN_PAGES = 5
-#: Up to so many boilerplate lines (32-byte hashes) in all, the hosts' lists are broadcast; beyond, joined by host.
+#: A line on one page only is no repeat, however few pages the host has.
+MIN_PAGES = 2
+#: Up to so many boilerplate lines (32-byte hashes) in all, the hosts' lists are broadcast; beyond, they are joined by host,
+#: where AQE splits a hot host's pages.
 BROADCAST_LINES = 200_000
 
 
@@ -45,8 +47,10 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         lists = F.broadcast(lists)
     rows = pages.join(lists, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), _key(x)))
-    rows = rows.withColumn("__lines", F.coalesce(F.array_size(lines), F.lit(0))).withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
+    # the page's own boilerplate first, by a hash set: each line is then looked for among the few that the page has
+    rows = rows.withColumn("__hit", F.when(F.col("__drop").isNotNull(), F.array_intersect(F.transform(lines, _key), "__drop")))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__hit"), _key(x)))
+    rows = rows.withColumn("__lines", F.coalesce(F.array_size(lines), F.lit(0))).withColumn("__kept", F.when(F.array_size("__hit") > 0, kept))
     n = F.when(F.col("__kept").isNull(), 0).otherwise(F.col("__lines") - F.array_size("__kept"))
     clean = F.when(n > 0, F.array_join("__kept", "\n")).otherwise(F.col(f"`{text}`"))
     out = {text: clean, "n_lines": F.col("__lines").cast("long"), "n_dropped": n.cast("long")}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.llm.common import crc_bucket, materialise, shuffle_partitions, words_of
-from flowlark.llm.wordblocks import BLOCK_CHARS, block_tables, joined, meet
+from flowlark.llm.wordblocks import BLOCK_CHARS, block_tables, checksum, joined, meet, record_batch
 
 SUFFIXES = 24
 BANDS = 3
@@ -51,41 +51,40 @@ def _band_hist(c: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
 
 
+COUNT_SCHEMA = "block long, part int, check long, a binary, b binary"
+
+
 def _count(batches):
     """Rows sorted by part: each word's count over all blocks goes back to every block that has the word, with its hashes; then the part's statistics."""
 
     def flush(part, rows):
         total: dict[str, int] = {}
-        for _, words, counts in rows:
+        for _, words, counts, _ in rows:
             for w, n in zip(words, counts, strict=True):
                 total[w] = total.get(w, 0) + n
         code = {w: 255 if w == _END_WORD else zlib.crc32(w[-2:].encode()) % SUFFIXES for w in total}
         out = []
-        for block, words, _ in rows:
+        for block, words, _, check in rows:
             c = np.fromiter((total[w] for w in words), dtype="<i8", count=len(words))
             f = np.fromiter(((1 + zlib.crc32(w.encode()) % CONTEXTS) << 8 | code[w] for w in words), dtype="<u4", count=len(words))
-            out.append((block, part, c.tobytes(), f.tobytes()))
+            out.append((block, part, check, c.tobytes(), f.tobytes()))
         c = np.fromiter(total.values(), dtype=np.int64, count=len(total))
         s = np.fromiter(code.values(), dtype=np.int64, count=len(code))
         known = (c > 0) & (s < 255)
         hist = np.bincount(s[known] * 64 + _band_hist(c[known]), weights=c[known], minlength=SUFFIXES * 64)
         stats = np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), c[s == 255].sum(), *hist], dtype="<f8")
-        return [*out, (-1, part, stats.tobytes(), b"")]
-
-    def row(out):
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["block", "part", "a", "b"])
+        return [*out, (-1, part, 0, stats.tobytes(), b"")]
 
     at, rows = None, []
     for b in batches:
         for block, part, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if part != at and rows:
-                yield row(flush(at, rows))
+                yield record_batch(flush(at, rows), COUNT_SCHEMA)
                 rows = []
             at = part
-            rows.append((block, words.decode().split("\n"), np.frombuffer(counts, dtype="<i4").tolist()))
+            rows.append((block, words.decode().split("\n"), np.frombuffer(counts, dtype="<i4").tolist(), int(np.uint64(checksum(words)).view(np.int64))))
     if rows:
-        yield row(flush(at, rows))
+        yield record_batch(flush(at, rows), COUNT_SCHEMA)
 
 
 class Statistics:
@@ -143,10 +142,8 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
 
 
 def _assemble(stats: Statistics):
-    def build(a, b, n_words):
+    def build(a, b):
         c = np.frombuffer(b"".join(a), dtype="<i8")
-        if len(c) != n_words:
-            raise ValueError("words and documents of a block do not belong together")
         return c, *stats.describe(c, np.frombuffer(b"".join(b), dtype="<u4"))
 
     def run(batches):
@@ -296,7 +293,7 @@ def score_texts(docs: DataFrame, learn: Column | None = None, rounds: int = ROUN
     parts = max(n, docs.rdd.getNumPartitions())
     words, texts = block_tables(docs, parts, tokens, flag, chars)
     words = words.repartition(n, "part").sortWithinPartitions("part", "block")
-    found = materialise(words.mapInArrow(_count, "block long, part int, a binary, b binary"), "counts")
+    found = materialise(words.mapInArrow(_count, COUNT_SCHEMA), "counts")
     partly = found.where("block = -1").select("a").mapInArrow(_added, "a binary").repartition(SLICES).mapInArrow(_added, "a binary")
     stats = Statistics([r["a"] for r in partly.collect()])  # a row a task of the last stage
     data = materialise(meet(found.where("block >= 0"), texts, n).mapInArrow(_assemble(stats), TOKEN_SCHEMA), "tokens", GROUP_BYTES)

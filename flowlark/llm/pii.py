@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.llm.boosting import BoostedTrees
-from flowlark.llm.common import bounded_batches
+from flowlark.llm.common import bounded_batches, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# (a match can only start where a run of digits does, and takes runs whole: so each run is read once)
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -63,7 +64,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end), sorted."""
     out = [(a, 0, z) for a, z in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -221,23 +223,26 @@ def model() -> tuple[BoostedTrees, tuple[float, ...]]:
     return trees, tuple(limits)
 
 
+#: Candidates that are scored at once.
+CHUNK = 4096
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], trees: BoostedTrees, limits) -> list[list[tuple[int, int, int]]]:
     """Accepted candidates of each text, none overlapping a base span or another accepted one."""
-    where, found, x = [], [], []
-    for i, t in enumerate(texts):
-        spans = base[i]
-        for s, kind, e in candidates(t):
-            if not any(s < z and a < e for a, _, z in spans):
-                where.append(i)
-                found.append((s, kind, e))
-                x.append(features(t, s, kind, e))
+    taken = [bytearray(len(t)) for t in texts]
+    for t, spans in zip(taken, base, strict=True):
+        for s, _, e in spans:
+            t[s:e] = b"\1" * (e - s)
+    good: list[tuple[float, int, tuple[int, int, int]]] = []
+    free = ((i, c) for i, t in enumerate(texts) for c in candidates(t) if 1 not in taken[i][c[0] : c[2]])
+    while some := list(islice(free, CHUNK)):
+        p = trees.predict(np.array([features(texts[i], *c) for i, c in some]))
+        good += [(-v, i, c) for v, (i, c) in zip(p.tolist(), some, strict=True) if v >= limits[c[1]]]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if x:
-        p = trees.predict(np.array(x))
-        for k in sorted(range(len(p)), key=lambda k: (-p[k], where[k], found[k])):
-            s, kind, e = found[k]
-            if p[k] >= limits[kind] and not any(s < z and a < e for a, _, z in out[where[k]]):
-                out[where[k]].append(found[k])
+    for _, i, (s, kind, e) in sorted(good):
+        if 1 not in taken[i][s:e]:
+            taken[i][s:e] = b"\1" * (e - s)
+            out[i].append((s, kind, e))
     return [sorted(o) for o in out]
 
 
@@ -256,6 +261,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     struct = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
     show = lambda rows: pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in r] for r in rows], struct)
 
+    @trimmed
     def run(batches):
         trees, limits = fitted.value
         for b in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import crc_bucket, materialise, bounded_batches
+from flowlark.llm.common import bounded_batches, crc_bucket, materialise, trimmed
 
 ROWS = 1 << 17
 DIM = 8
@@ -215,7 +215,7 @@ class TextCNN:
             col += k * FILTERS
         return float(np.maximum(np.concatenate(top), 0) @ self.v + self.c)
 
-    def marker(self, most: int = 200_000):
+    def marker(self, most: int = 50_000):
         """A function from texts to their logits and languages. It keeps at most so many words."""
         state: dict = {}
 
@@ -237,7 +237,7 @@ class TextCNN:
 
         return mark
 
-    def scorer(self, most: int = 200_000):
+    def scorer(self, most: int = 50_000):
         """A function from texts to scores in 0 to 1, where THRESHOLD is each language's threshold. It keeps at most so many words."""
         mark = self.marker(most)
 
@@ -302,6 +302,7 @@ def _marks(docs: DataFrame, model: TextCNN) -> DataFrame:
     bounded_batches(spark)
     fitted = spark.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches):
         mark, learnt = fitted.value.marker(), fitted.value.learnt
         for b in batches:
@@ -337,6 +338,7 @@ def score(docs: DataFrame, model: TextCNN, text: str = "text", out: str = "score
     i = df.columns.index(text)
     fitted = spark.sparkContext.broadcast(model)  # ROWS x DIM floats: 4 MB
 
+    @trimmed
     def run(batches):
         rate = fitted.value.scorer()
         for b in batches:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import bounded_batches
+from flowlark.llm.common import bounded_batches, trimmed
 
 # Fixed values of the formats.
 DICT_FRAME = 0x184D2A5D
@@ -92,6 +92,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
         c = zstandard.ZstdCompressor(level=3, dict_data=_dict(d), write_checksum=True, write_content_size=True)
         return struct.pack("<II", DICT_FRAME, len(d)) + d + b"".join(map(c.compress, records))
 
+    @trimmed
     def run(batches):
         task, n, records, size = None, 0, [], 0
         row = lambda: pa.RecordBatch.from_arrays([pa.array([f"{task:08d}-{n:06d}.warc.zst"]), pa.array([archive(records)], pa.binary())], names=["archive", "content"])
@@ -187,11 +188,12 @@ READ_SCHEMA = "page_id long, record_type string, payload_bytes long, payload_dig
 def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
     """The records of archives (binary column content). A broken archive is an error, an empty one gives no rows; html is null for revisits."""
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    bounded_batches(archives.sparkSession)
     types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
     number = lambda x: int(x) if x else None
 
+    @trimmed
     def run(batches):
         for b in batches:
             for c in b.column(0).to_pylist():

@@ -14,17 +14,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import materialise, bounded_batches, words_of
+from flowlark.llm.common import bounded_batches, materialise, trimmed, words_of
 
 BLOCK_CHARS = 32_000_000
 CHUNK_WORDS = 65_536
 
 WORDS_SCHEMA = "block long, part int, words binary, counts binary"
-DOCS_SCHEMA = "block long, chunk int, n_words int, ids binary, lens binary, flags binary, stream binary"
+DOCS_SCHEMA = "block long, chunk int, check long, ids binary, lens binary, flags binary, stream binary"
 
 
 def pack_ints(a: np.ndarray) -> bytes:
@@ -85,25 +86,39 @@ def _base(docs: DataFrame, flag) -> DataFrame:
     return docs.select(F.spark_partition_id().alias("p"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(flag, F.lit(False)).alias("flag"))
 
 
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _batch(rows: list[tuple], schema: str):
+def record_batch(rows: list[tuple], schema: str):
     fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(c, TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def checksum(blob: bytes) -> int:
+    """A hash of one part's words; the sum over a block's parts (with wrapping) tells whether two reads gave the same words."""
+    return xxhash.xxh64_intdigest(blob)
+
+
+def _signed(x: int) -> int:
+    return (x + 2**63) % 2**64 - 2**63
+
+
+def _cuts(part: np.ndarray):
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    return zip(cuts, [*cuts[1:], len(part)], strict=True)
 
 
 def _word_rows(block: int, now: _Block, words, part, flat):
     """(block, part, words, counts) for each part that has words."""
     sizes = np.fromiter(map(len, now.seqs), dtype=np.int64, count=len(now.seqs))
     counts = np.bincount(flat, weights=np.repeat(np.array(now.flags), sizes), minlength=len(words)).astype("<i4")
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True):
+    for a, z in _cuts(part):
         yield block, int(part[a]), "\n".join(words[a:z]).encode(), counts[a:z].tobytes()
 
 
-def _doc_rows(block: int, now: _Block, words, flat):
-    """(block, chunk, n_words, ids, lens, flags, stream) for chunks of documents."""
+def _doc_rows(block: int, now: _Block, words, part, flat):
+    """(block, chunk, check, ids, lens, flags, stream) for chunks of documents."""
+    check = _signed(sum(checksum("\n".join(words[a:z]).encode()) for a, z in _cuts(part)))
     sizes = np.fromiter(map(len, now.seqs), dtype=np.int64, count=len(now.seqs))
     ends = np.cumsum(sizes)
     a, chunk = 0, 0
@@ -112,7 +127,7 @@ def _doc_rows(block: int, now: _Block, words, flat):
         z = max(a + 1, int(np.searchsorted(ends, start + CHUNK_WORDS, side="right")))
         null = np.array([i is None for i in now.ids[a:z]], dtype=np.uint8)
         ids = np.array([i or 0 for i in now.ids[a:z]], dtype="<i8")
-        yield block, chunk, len(words), ids.tobytes(), sizes[a:z].astype("<i4").tobytes(), (np.array(now.flags[a:z], dtype=np.uint8) | (null << 1)).tobytes(), pack_ints(flat[start : ends[z - 1]])
+        yield block, chunk, check, ids.tobytes(), sizes[a:z].astype("<i4").tobytes(), (np.array(now.flags[a:z], dtype=np.uint8) | (null << 1)).tobytes(), pack_ints(flat[start : ends[z - 1]])
         a, chunk = z, chunk + 1
 
 
@@ -121,15 +136,16 @@ def _in_batches(rows, schema: str, most: int):
     for r in rows:
         held.append(r)
         if len(held) == most:
-            yield _batch(held, schema)
+            yield record_batch(held, schema)
             held = []
     if held:
-        yield _batch(held, schema)
+        yield record_batch(held, schema)
 
 
 def block_words(docs: DataFrame, parts: int, split=words_of, flag=None, chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per block and part: its words joined by newlines, and how often each is in flagged documents."""
 
+    @trimmed
     def run(batches):
         for block, now in _blocks(batches, split, chars):
             yield from _in_batches(_word_rows(block, now, *now.close(parts)), WORDS_SCHEMA, 64)
@@ -141,13 +157,13 @@ def block_docs(docs: DataFrame, parts: int, split=words_of, flag=None, chars: in
     """Rows of a block's documents: ids, word counts, flags, and the words' positions in the block's list, in chunks.
 
     Must see the same rows in the same tasks as block_words did: docs has to be
-    a plain read of a table. What joins the two checks the number of words.
+    a plain read of a table. What joins the two checks that the words agree.
     """
 
+    @trimmed
     def run(batches):
         for block, now in _blocks(batches, split, chars):
-            words, _, flat = now.close(parts)
-            yield from _in_batches(_doc_rows(block, now, words, flat), DOCS_SCHEMA, 1)
+            yield from _in_batches(_doc_rows(block, now, *now.close(parts)), DOCS_SCHEMA, 1)
 
     return _base(docs, F.lit(False) if flag is None else flag).mapInArrow(run, DOCS_SCHEMA)
 
@@ -156,38 +172,42 @@ def block_tables(docs: DataFrame, parts: int, split=words_of, flag=None, chars:
     """What block_words and block_docs give, from one read of docs, written to the shared folder (about half the size of the texts)."""
     schema = WORDS_SCHEMA + ", " + DOCS_SCHEMA.partition(", ")[2]
 
+    @trimmed
     def run(batches):
         for block, now in _blocks(batches, split, chars):
             words, part, flat = now.close(parts)
             yield from _in_batches(((*r, *[None] * 6) for r in _word_rows(block, now, words, part, flat)), schema, 64)
-            yield from _in_batches(((r[0], None, None, None, *r[1:]) for r in _doc_rows(block, now, words, flat)), schema, 1)
+            yield from _in_batches(((r[0], None, None, None, *r[1:]) for r in _doc_rows(block, now, words, part, flat)), schema, 1)
 
     both = materialise(_base(docs, F.lit(False) if flag is None else flag).mapInArrow(run, schema), "blocks")
-    return both.where("part is not null").select("block", "part", "words", "counts"), both.where("part is null").select("block", "chunk", "n_words", "ids", "lens", "flags", "stream")
+    return both.where("part is not null").select("block", "part", "words", "counts"), both.where("part is null").select("block", "chunk", "check", "ids", "lens", "flags", "stream")
 
 
 def meet(found: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Bring what was found for each (block, part) to its block's documents: one exchange by block, words before documents.
 
-    found has block, part, and binary columns a and b.
+    found has block, part, check (the checksum() of the words, signed), and binary columns a and b.
     """
-    left = found.select("block", F.lit(0).alias("kind"), F.col("part").alias("at"), "a", "b", F.lit(None).cast("int").alias("n_words"), *[F.lit(None).cast("binary").alias(c) for c in ("ids", "lens", "flags", "stream")])
-    right = docs.select("block", F.lit(1).alias("kind"), F.col("chunk").alias("at"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "n_words", "ids", "lens", "flags", "stream")
+    left = found.select("block", F.lit(0).alias("kind"), F.col("part").alias("at"), "check", "a", "b", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "lens", "flags", "stream")])
+    right = docs.select("block", F.lit(1).alias("kind"), F.col("chunk").alias("at"), "check", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "ids", "lens", "flags", "stream")
     return left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "kind", "at")
 
 
 def joined(batches, build):
-    """Over rows of meet(): yields (build(a parts, b parts, n_words), ids, flags, sizes, positions) for each chunk of documents."""
-    at, a, b, table = None, [], [], None
+    """Over rows of meet(): yields (build(a parts, b parts), ids, flags, sizes, positions) for each chunk of documents."""
+    at, a, b, table, total = None, [], [], None, 0
     for batch in batches:
-        for block, kind, _, x, y, n_words, ids, lens, flags, stream in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, kind, _, check, x, y, ids, lens, flags, stream in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != at:
-                at, a, b, table = block, [], [], None
+                at, a, b, table, total = block, [], [], None, 0
             if kind == 0:
                 a.append(x)
                 b.append(y)
+                total += check
                 continue
             if table is None:
-                table = build(a, b, n_words)
+                if _signed(total) != check:
+                    raise ValueError("two reads of the documents differ; write them as a table first")
+                table = build(a, b)
                 a, b = [], []
             yield table, np.frombuffer(ids, dtype="<i8"), np.frombuffer(flags, dtype=np.uint8), np.frombuffer(lens, dtype="<i4").astype(np.int64), unpack_ints(stream)

@@ -44,3 +44,26 @@ def test_null_ids_and_extra_columns(spark, library):
     df = spark.createDataFrame([(1, None, "a"), (2, bytearray(), "b")], "doc_id long, ids binary, decoded string")
     assert [r.decoded for r in bpe.decode(df, word_vocabulary()).orderBy("doc_id").collect()] == [None, ""]
     assert bpe.decode(df.withColumn("x", F.lit(1)), word_vocabulary()).columns == ["doc_id", "ids", "x", "decoded"]
+
+
+def test_reads_that_differ_are_an_error():
+    """Other words of the same number in the second read are noticed."""
+    from types import SimpleNamespace
+
+    from flowlark.llm import wordblocks as w
+
+    def rows(words):
+        block = w._Block()
+        block.add(1, words, False, 10)
+        return [*w._word_rows(0, block, *block.close(1))], [*w._doc_rows(0, block, *block.close(1))]
+
+    def met(words, docs):
+        found, texts = rows(words)[0], rows(docs)[1]
+        lines = [(b, 0, p, w._signed(w.checksum(t)), t, b"", None, None, None, None) for b, p, t, _ in found]
+        lines += [(b, 1, c, check, None, None, ids, lens, flags, stream) for b, c, check, ids, lens, flags, stream in texts]
+        columns = [SimpleNamespace(to_pylist=lambda x=x: list(x)) for x in zip(*lines, strict=True)]
+        return list(w.joined([SimpleNamespace(columns=columns)], lambda a, b: a))
+
+    assert len(met(["a", "b"], ["a", "b"])) == 1
+    with pytest.raises(ValueError):
+        met(["a", "b"], ["a", "c"])

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -38,6 +39,34 @@ def test_base_spans_of_documents(docs):
         assert pii.base_spans(r.text or "") == plain(r.text or "")
 
 
+def test_the_query_of_personal_data(docs, odd_docs):
+    """Every column of the query against the patterns as they are given; spans are the base ones and the added ones."""
+    trees, limits = pii.model()
+    line = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    for df in (docs, odd_docs):
+        want = []
+        for r in df.collect():
+            base = plain(r.text or "")
+            added = pii.added_spans([r.text or ""], [base], trees, limits)[0]
+            assert not any(s < z and a < e for s, _, e in added for a, _, z in base)
+            n = Counter(k for _, k, _ in base)
+            want.append((r.doc_id, n[0], n[1], n[2], n[3], hashlib.sha256(line(base).encode()).hexdigest(), line(base + added), len(added)))
+        got = [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans, r.n_added) for r in pii.digest(pii.find_pii(df)).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("text", ["0" * 5000 + "1.1.1.1", "12 " * 20_000, "415-555-2671 " * 20_000, "1" * 1_000_000, "1." * 300_000, "a" * 500_000 + "@", "4539578763621486 " * 20_000, "+1" * 200_000, "a@" * 200_000])
+def test_long_runs_take_time_in_proportion(text):
+    began = time.process_time()
+    trees, limits = pii.model()
+    base = pii.base_spans(text)
+    added = pii.added_spans([text], [base], trees, limits)[0]
+    assert time.process_time() - began < 60
+    if text.startswith("0"):
+        assert base == [(0, 1, len(text))]  # leading zeros count for nothing
+    assert all(0 <= s < e <= len(text) for s, _, e in [*base, *added])
+
+
 def test_luhn():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
 
