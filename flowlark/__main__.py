@@ -27,7 +27,7 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("flowlark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     print(json.dumps(run.run(spark, n.pcap, o, {SINKS[k]: getattr(n, k) for k in SINKS if getattr(n, k)})))
     if n.top:
-        ticks.top_flows_total(run.packets(run.read(spark, n.pcap, o), o), n.top).show(n.top, truncate=False)
+        ticks.top_flows_total(run.packets(run.read(spark, n.pcap, o)), n.top).show(n.top, truncate=False)
 
 
 if __name__ == "__main__":

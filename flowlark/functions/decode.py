@@ -1,9 +1,12 @@
-"""Header decoders: expressions over BINARY frames, staged so that each layer reads the offsets of the one below."""
+"""Header decoders over BINARY frames: all layers' offsets and numbers in numpy, a batch at a time; texts as expressions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from flowlark.functions.net import mac_text
 
@@ -23,12 +26,6 @@ def uint(data: Column, pos, n: int) -> Column:
     return F.when(F.octet_length(piece) == n, F.conv(F.hex(piece), 16, 10).cast("long"))
 
 
-def _hold(x: Column) -> Column:
-    """x, in a form the optimizer neither copies into what uses it nor pushes filters through: without it, layers that
-    read the layers below more than once would be multiplied out into expressions of exponential size."""
-    return F.when(F.spark_partition_id() >= 0, x)
-
-
 def _label(x: Column, names: dict[int, str], other: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for k, v in names.items():
@@ -54,121 +51,191 @@ def ip_protocol_text(x: Column) -> Column:
     return _label(x, IP_PROTOCOLS, F.format_string("Proto(%d)", x))
 
 
-def link(frames: DataFrame, data: str = "data", link_type: str = "link_type") -> DataFrame:
-    """Adds link_kind, MACs, ether_type, sll_packet_type, loop_family, vlan fields, net_at (where the network header starts) and parse_error."""
-    d, kind = F.col(data), F.col(link_type)
-    size = F.octet_length(d)
-    need = _label(kind, {}, F.lit(None))
-    for k, n in LINK_BYTES.items():
-        need = F.when(kind == k, n).otherwise(need)
-    short = F.format_string("packet too short: need %d bytes, got %d", need, size)
-    name = F.when(F.lit(False), F.lit(""))
-    for k, v in LINK_TYPES.items():
-        name = name.when(kind == k, v)
-    raw = kind.isin(12, 101)
-    error = F.when(need.isNull(), F.format_string("invalid header: unsupported link type %d", kind)).when(size < need, short).when(raw & (size == 0), F.lit("packet too short: need 1 bytes, got 0"))
-    eth, sll, null, loop = kind == 1, kind == 113, kind == 0, kind == 108
-    outer = F.when(eth, uint(d, 12, 2)).when(sll, uint(d, 14, 2))
-    rows = frames.withColumns({"link_kind": name, "parse_error": error, "l_need": need.cast("int"), "outer_type": outer})
-    ok = F.col("parse_error").isNull()
-    tagged = ok & (F.col("outer_type") == 0x8100)
-    rows = rows.withColumn("parse_error", _hold(F.when(tagged & (size < F.col("l_need") + 4), F.format_string("packet too short: need %d bytes, got %d", F.col("l_need") + 4, size)).otherwise(F.col("parse_error"))))
-    tci = F.when(ok & tagged, uint(d, F.col("l_need"), 2))
-    family = F.when(null, F.conv(F.hex(F.reverse(cut(d, 0, 4))), 16, 10).cast("long")).when(loop, uint(d, 0, 4))
-    hold = lambda c, x: F.when(ok & c, x)
-    return rows.withColumns({
-        "eth_dst": hold(eth, mac_text(cut(d, 0, 6))), "eth_src": hold(eth, mac_text(cut(d, 6, 6))), "ether_type": hold(eth | sll, F.when(tagged, uint(d, F.col("l_need") + 2, 2)).otherwise(F.col("outer_type"))),
-        "sll_packet_type": hold(sll, _label(uint(d, 0, 2), SLL_PACKET_TYPES, F.format_string("type(%d)", uint(d, 0, 2)))), "sll_address": hold(sll, mac_text(cut(d, 6, F.least(uint(d, 4, 2), F.lit(8)).cast("int")))),
-        "loop_family": hold(null | loop, family), "vlan_priority": F.shiftright(tci, 13).cast("int"), "vlan_dei": F.shiftright(tci, 12).bitwiseAND(1) == 1, "vlan_id": tci.bitwiseAND(0xFFF).cast("int"),
-        "net_at": _hold(F.when(ok, F.col("l_need") + F.when(tagged, 4).otherwise(0))),
-    }).drop("l_need", "outer_type")
-
-
-def _ext(acc: Column, data: Column, end: Column) -> Column:
-    """One step over IPv6 extension headers: (at, next, fragment offset or -1, steps go on)."""
-    nxt, at = acc["next"], acc["at"]
-    n = uint(data, at, 1)
-    length = uint(data, at + 1, 1)
-    opt, frag, ah = nxt.isin(0, 43, 60, 135, 139, 140), nxt == 44, nxt == 51
-    size = F.when(frag, F.lit(8)).when(ah, (length + 2) * 4).otherwise((length + 1) * 8).cast("int")
-    fits = acc["on"] & (opt | frag | ah) & n.isNotNull() & length.isNotNull() & (at + size <= end)
-    off = F.when(frag, F.shiftright(uint(data, at + 2, 2), 3)).otherwise(F.lit(0))
-    later = fits & frag & (off > 0)
-    return F.struct(F.when(fits & ~later, at + size).when(later, at + size).otherwise(at).cast("int").alias("at"), F.when(later, F.lit(44)).when(fits, n).otherwise(nxt).cast("long").alias("next"), F.coalesce(fits & ~later, F.lit(False)).alias("on"), F.coalesce(acc["frag"] | later, F.lit(False)).alias("frag"))
-
-
-def network(rows: DataFrame, data: str = "data") -> DataFrame:
-    """Adds IPv4 and IPv6 fields, l4_at and l4_end (the transport's bytes), proto and is_fragment (a later fragment)."""
-    d, at = F.col(data), F.col("net_at")
-    size = F.octet_length(d)
-    byte = uint(d, at, 1)
-    nibble = F.shiftright(byte, 4)
-    by_type = F.col("link_kind").isin("ethernet", "linux_sll")
-    v4 = F.when(by_type, F.col("ether_type") == 0x0800).otherwise(nibble == 4)
-    v6 = F.when(by_type, F.col("ether_type") == 0x86DD).otherwise(nibble == 6)
-    rows = rows.withColumn("ip_version", _hold(F.when(F.col("parse_error").isNull() & v4, 4).when(F.col("parse_error").isNull() & v6, 6)))
-    is4, is6 = F.col("ip_version") == 4, F.col("ip_version") == 6
-    left = size - at
-    ihl = byte.bitwiseAND(15)
-    too = lambda n: F.format_string("packet too short: need %d bytes, got %d", n, left)
-    error = F.when(is4, F.when(left < 20, too(F.lit(20))).when(nibble != 4, F.lit("invalid header: IPv4 version")).when(ihl < 5, F.lit("invalid header: IPv4 header length")).when(left < ihl * 4, too(ihl * 4))).when(is6, F.when(left < 40, too(F.lit(40))).when(nibble != 6, F.lit("invalid header: IPv6 version")))
-    rows = rows.withColumn("parse_error", _hold(F.coalesce("parse_error", error)))
-    ok = F.col("parse_error").isNull()
-    rows = rows.withColumn("ip_version", _hold(F.when(ok, F.col("ip_version"))))
-    word = uint(d, at + 6, 2)
-    total = uint(d, at + 2, 2)
-    head = ihl * 4
-    g4, g6 = lambda x: F.when(is4, x), lambda x: F.when(is6, x)
-    rows = rows.withColumns({
-        "ip_header_len": g4(head.cast("int")), "ip_dscp": g4(F.shiftright(uint(d, at + 1, 1), 2).cast("int")), "ip_ecn": g4(uint(d, at + 1, 1).bitwiseAND(3).cast("int")), "ip_total_length": g4(total.cast("int")), "ip_id": g4(uint(d, at + 4, 2).cast("int")),
-        "ip_df": g4(word.bitwiseAND(0x4000) != 0), "ip_mf": g4(word.bitwiseAND(0x2000) != 0), "ip_fragment_offset": g4((word.bitwiseAND(0x1FFF) * 8).cast("int")), "ip_ttl": F.when(is4, uint(d, at + 8, 1)).when(is6, uint(d, at + 7, 1)).cast("int"),
-        "ip_checksum": g4(uint(d, at + 10, 2).cast("int")), "ip6_flow_label": g6(uint(d, at, 4).bitwiseAND(0xFFFFF)), "ip6_traffic_class": g6(F.shiftright(uint(d, at, 4), 20).bitwiseAND(255).cast("int")), "ip6_payload_length": g6(uint(d, at + 4, 2).cast("int")),
-        "src_addr": F.when(is4, cut(d, at + 12, 4)).when(is6, cut(d, at + 8, 16)), "dst_addr": F.when(is4, cut(d, at + 16, 4)).when(is6, cut(d, at + 24, 16)),
-    })
-    end6 = F.least(size, at + 40 + F.col("ip6_payload_length")).cast("int")
-    start = F.struct((at + 40).cast("int").alias("at"), uint(d, at + 6, 1).alias("next"), F.lit(True).alias("on"), F.lit(False).alias("frag"))
-    rows = rows.withColumn("x6", _hold(F.when(is6, F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, lambda acc, _: _ext(acc, d, end6)))))
-    end4 = F.least(size, at + F.greatest(F.col("ip_total_length"), F.col("ip_header_len")))
-    return rows.withColumns({
-        "proto": _hold(F.when(is4, uint(d, at + 9, 1)).when(is6, F.col("x6.next")).cast("int")), "l4_at": _hold(F.when(is4, at + F.col("ip_header_len")).when(is6, F.col("x6.at")).cast("int")), "l4_end": _hold(F.when(is4, end4).when(is6, end6).cast("int")),
-        "is_fragment": F.when(is4, F.col("ip_fragment_offset") > 0).when(is6, F.col("x6.frag")),
-    }).drop("x6")
-
-
-def transport(rows: DataFrame, data: str = "data") -> DataFrame:
-    """Adds l4_kind and the TCP, UDP, ICMP and ICMPv6 fields, payload_at and payload_len. A bad transport header leaves l4_kind null, without an error."""
-    d, at = F.col(data), F.col("l4_at")
-    room = F.col("l4_end") - at
-    whole = ~F.coalesce("is_fragment", F.lit(False))
-    off = F.shiftright(uint(d, at + 12, 1), 4)
-    p = F.col("proto")
-    tcp = whole & (p == 6) & (room >= 20) & (off >= 5) & (room >= off * 4)
-    udp = whole & (p == 17) & (room >= 8)
-    icmp, icmp6 = whole & (p == 1) & (room >= 8), whole & (p == 58) & (room >= 8)
-    rows = rows.withColumn("l4_kind", _hold(F.when(tcp, "tcp").when(udp, "udp").when(icmp, "icmp").when(icmp6, "icmpv6")))
-    is_t, is_u, is_i = F.col("l4_kind") == "tcp", F.col("l4_kind") == "udp", F.col("l4_kind").isin("icmp", "icmpv6")
-    ports = is_t | is_u
-    t, u, i = lambda x: F.when(is_t, x), lambda x: F.when(is_u, x), lambda x: F.when(is_i, x)
-    kind = uint(d, at, 1)
-    echo = ((F.col("l4_kind") == "icmp") & kind.isin(0, 8)) | ((F.col("l4_kind") == "icmpv6") & kind.isin(128, 129))
-    skip = F.when(is_t, off * 4).when(is_u | is_i, 8).otherwise(0)
-    rows = rows.withColumns({
-        "src_port": F.when(ports, uint(d, at, 2)), "dst_port": F.when(ports, uint(d, at + 2, 2)), "seq": t(uint(d, at + 4, 4)), "ack": t(uint(d, at + 8, 4)), "tcp_header_len": t((off * 4).cast("int")), "flags": F.coalesce(t(uint(d, at + 13, 1)), u(F.lit(0).cast("long"))).cast("int"),
-        "window": t(uint(d, at + 14, 2).cast("int")), "checksum": F.when(is_t, uint(d, at + 16, 2)).when(is_u, uint(d, at + 6, 2)).when(is_i, uint(d, at + 2, 2)).cast("int"), "urgent": t(uint(d, at + 18, 2).cast("int")), "udp_length": u(uint(d, at + 4, 2).cast("int")),
-        "icmp_type": i(kind.cast("int")), "icmp_code": i(uint(d, at + 1, 1).cast("int")), "echo_id": F.when(echo, uint(d, at + 4, 2)).cast("int"), "echo_seq": F.when(echo, uint(d, at + 6, 2)).cast("int"),
-        "icmp_text": F.when(F.col("l4_kind") == "icmp", _label(kind, ICMP_TYPES, F.format_string("type(%d)", kind))).when(F.col("l4_kind") == "icmpv6", _label(kind, ICMPV6_TYPES, F.format_string("type(%d)", kind))),
-        "payload_at": _hold((at + skip).cast("int")),
-    })
-    end = F.when(F.col("l4_kind") == "udp", F.least(F.col("l4_end"), F.col("l4_at") + F.greatest(F.col("udp_length"), F.lit(8)))).otherwise(F.col("l4_end"))
+# What the batch decoder gives; parse() names the fields in Spark, so that texts nobody asks for are not made.
+_OFFSETS = "net_at int, l4_at int, l4_end int, payload_at int, captured int"
+_NUMBERS = (
+    "link int, ether_type long, sll_type int, sll_size int, loop_family long, tci int, ip_version int, v4_size int, v4_tos int, v4_total int, v4_id int, v4_word int, ttl int, v4_checksum int, "
+    "v6_word long, v6_size int, proto int, l4 int, src_port long, dst_port long, seq long, ack long, tcp_size int, flags int, window int, checksum int, urgent int, udp_size int, "
+    "icmp_type int, icmp_code int, echo_id int, echo_seq int, payload_len long"
+)
+_SCHEMA = f"error string, is_fragment boolean, {_OFFSETS}, {_NUMBERS}"
+_FIELDS = [x.split() for x in _SCHEMA.split(", ")]
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_TCP, _UDP, _ICMP, _ICMP6 = 1, 2, 3, 4
+_KINDS = {_TCP: "tcp", _UDP: "udp", _ICMP: "icmp", _ICMP6: "icmpv6"}
+#: Option headers of IPv6, the fragment header, the authentication header; at most so many headers are passed.
+_OPTIONS, _FRAGMENT, _AUTH, _STEPS = (0, 43, 60, 135, 139, 140), 44, 51, 8
+
+
+class _Frames:
+    """Big-endian integers at positions of each frame of a batch, all frames at once."""
+
+    def __init__(self, data: pa.Array) -> None:
+        data = data.cast(pa.large_binary())
+        _, offsets, octets = data.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+        self.start, self.size = ends[:-1], np.diff(ends)
+        raw = np.frombuffer(octets, dtype=np.uint8) if octets is not None else np.zeros(0, dtype=np.uint8)
+        self.octets = np.concatenate([raw[: ends[-1]], np.zeros(8, dtype=np.uint8)])
+
+    def has(self, at, n: int) -> np.ndarray:
+        return (at >= 0) & (at + n <= self.size)
+
+    def get(self, at, n: int) -> np.ndarray:
+        """0 where the frame is too short: ask has()."""
+        ok = self.has(at, n)
+        first = np.where(ok, self.start + at, 0)
+        out = np.zeros(len(self.size), dtype=np.int64)
+        for k in range(n):
+            out = out << 8 | self.octets[first + k]
+        return np.where(ok, out, 0)
+
+
+def _decode(f: _Frames, link: np.ndarray) -> dict[str, tuple]:
+    """Each field's values, and where it has one."""
+    n = len(link)
+    out: dict[str, tuple] = {}
+    errors = np.full(n, None, dtype=object)
+    size = f.size
+
+    def fail(where: np.ndarray, text) -> None:
+        for i in np.flatnonzero(where & fine()):
+            errors[i] = text(i)
+
+    def fine() -> np.ndarray:
+        return np.equal(errors, None)
+
+    too_short = lambda need, got: lambda i: f"packet too short: need {need[i]} bytes, got {got[i]}"
+
+    # link layer
+    need = np.full(n, -1, dtype=np.int64)
+    for k, v in LINK_BYTES.items():
+        need[link == k] = v
+    eth, sll, raw = link == 1, link == 113, (link == 12) | (link == 101)
+    fail(need < 0, lambda i: f"invalid header: unsupported link type {link[i]}")
+    fail(size < need, too_short(need, size))
+    fail(raw & (size == 0), too_short(np.ones(n, dtype=np.int64), size))
+    outer = np.where(eth, f.get(np.full(n, 12), 2), np.where(sll, f.get(np.full(n, 14), 2), -1))
+    tagged = fine() & (outer == 0x8100)
+    fail(tagged & (size < need + 4), too_short(need + 4, size))
+    ok = fine()
+    typed = ok & (eth | sll)
+    ether = np.where(tagged, f.get(need + 2, 2), outer)
+    swapped = f.get(np.zeros(n, dtype=np.int64), 4).astype(np.uint32)
+    family = np.where(link == 0, swapped.byteswap(), swapped).astype(np.int64)
+    out |= {"link": (link, need >= 0), "ether_type": (ether, typed), "loop_family": (family, ok & ((link == 0) | (link == 108))), "tci": (f.get(need, 2), ok & tagged)}
+    out |= {"sll_type": (f.get(np.zeros(n, dtype=np.int64), 2), ok & sll), "sll_size": (np.minimum(f.get(np.full(n, 4), 2), 8), ok & sll)}
+    at = need + 4 * tagged
+    out["net_at"] = (at, ok)
+
+    # network layer
+    first = f.get(at, 1)
+    seen, nibble, ihl, left = f.has(at, 1), first >> 4, first & 15, size - at
+    four = ok & np.where(typed, ether == 0x0800, ~(eth | sll) & seen & (nibble == 4))
+    six = ok & ~four & np.where(typed, ether == 0x86DD, ~(eth | sll) & seen & (nibble == 6))
+    fail(four & (left < 20), too_short(np.full(n, 20), left))
+    fail(four & (nibble != 4), lambda i: "invalid header: IPv4 version")
+    fail(four & (ihl < 5), lambda i: "invalid header: IPv4 header length")
+    fail(four & (left < ihl * 4), too_short(ihl * 4, left))
+    fail(six & (left < 40), too_short(np.full(n, 40), left))
+    fail(six & (nibble != 6), lambda i: "invalid header: IPv6 version")
+    good = fine()
+    four, six = four & good, six & good
+    ip = four | six
+    word, total, head = f.get(at + 6, 2), f.get(at + 2, 2), ihl * 4
+    out |= {"ip_version": (np.where(four, 4, 6), ip), "v4_size": (head, four), "v4_tos": (f.get(at + 1, 1), four), "v4_total": (total, four), "v4_id": (f.get(at + 4, 2), four), "v4_word": (word, four)}
+    out |= {"ttl": (f.get(np.where(four, at + 8, at + 7), 1), ip), "v4_checksum": (f.get(at + 10, 2), four), "v6_word": (f.get(at, 4), six), "v6_size": (f.get(at + 4, 2), six)}
+    end = np.where(four, np.minimum(size, at + np.maximum(total, head)), np.minimum(size, at + 40 + f.get(at + 4, 2)))
+    pos, nxt = np.where(four, at + head, at + 40), f.get(np.where(four, at + 9, at + 6), 1)
+    later = four & (word & 0x1FFF > 0)
+    on = six.copy()
+    for _ in range(_STEPS):
+        on &= np.isin(nxt, (*_OPTIONS, _FRAGMENT, _AUTH)) & f.has(pos, 2)
+        if not on.any():
+            break
+        fragment = nxt == _FRAGMENT
+        length = f.get(pos + 1, 1)
+        step = np.where(fragment, 8, np.where(nxt == _AUTH, (length + 2) * 4, (length + 1) * 8))
+        on &= pos + step <= end
+        cut_off = on & fragment & (f.get(pos + 2, 2) >> 3 > 0)
+        nxt = np.where(cut_off, _FRAGMENT, np.where(on, f.get(pos, 1), nxt))
+        pos = np.where(on, pos + step, pos)
+        later |= cut_off
+        on &= ~cut_off
+    out |= {"proto": (nxt, ip), "l4_at": (pos, ip), "l4_end": (end, ip), "is_fragment": (later, ip)}
+
+    # transport layer; a bad header is no error
+    room, whole = end - pos, ip & ~later
+    words = f.get(pos + 12, 1) >> 4
+    tcp = whole & (nxt == 6) & (room >= 20) & (words >= 5) & (room >= words * 4)
+    udp, icmp, icmp6 = (whole & (nxt == p) & (room >= 8) for p in (17, 1, 58))
+    other = icmp | icmp6
+    kind = np.select([tcp, udp, icmp, icmp6], [_TCP, _UDP, _ICMP, _ICMP6], 0)
+    what = f.get(pos, 1)
+    echo = (icmp & np.isin(what, (0, 8))) | (icmp6 & np.isin(what, (128, 129)))
+    udp_size = f.get(pos + 4, 2)
+    out |= {"l4": (kind, kind > 0), "src_port": (f.get(pos, 2), tcp | udp), "dst_port": (f.get(pos + 2, 2), tcp | udp), "seq": (f.get(pos + 4, 4), tcp), "ack": (f.get(pos + 8, 4), tcp), "tcp_size": (words * 4, tcp)}
+    out |= {"flags": (np.where(tcp, f.get(pos + 13, 1), 0), tcp | udp), "window": (f.get(pos + 14, 2), tcp), "checksum": (f.get(np.select([tcp, udp], [pos + 16, pos + 6], pos + 2), 2), kind > 0), "urgent": (f.get(pos + 18, 2), tcp), "udp_size": (udp_size, udp)}
+    out |= {"icmp_type": (what, other), "icmp_code": (f.get(pos + 1, 1), other), "echo_id": (udp_size, echo), "echo_seq": (f.get(pos + 6, 2), echo)}
+    body = pos + np.select([tcp, kind > 0], [words * 4, 8], 0)
+    stop = np.where(udp, np.minimum(end, pos + np.maximum(udp_size, 8)), end)
+    captured = np.maximum(stop - body, 0)
     # sequence lengths count what the IPv4 header says was sent, also if it was not captured
-    sent = F.when((F.col("ip_version") == 4) & (F.col("l4_kind") == "tcp"), F.col("ip_total_length") - F.col("ip_header_len") - F.col("tcp_header_len"))
-    captured = F.greatest(end - F.col("payload_at"), F.lit(0))
-    return rows.withColumns({"payload_len": F.when(F.col("l4_kind").isNotNull(), F.greatest(F.coalesce(sent, captured), F.lit(0))).cast("long"), "payload": F.when(F.col("ip_version").isNotNull(), cut(d, F.col("payload_at"), captured.cast("int")))})
+    sent = np.where(tcp & four, np.maximum(total - head - words * 4, 0), captured)
+    out |= {"payload_at": (body, ip), "captured": (captured, ip), "payload_len": (sent, kind > 0), "error": (errors, ~good)}
+    return out
+
+
+def _decoder(data: int, link_type: int, passed: list[int]):
+    def run(batches):
+        for b in batches:
+            fields = _decode(_Frames(b.column(data)), b.column(link_type).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+            made = [pa.array(v.tolist() if t == "string" else v, _ARROW[t], **({} if t == "string" else {"mask": ~ok})) for (v, ok), t in ((fields[name], t) for name, t in _FIELDS)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in passed), *made], names=[*(b.schema.names[i] for i in passed), *(f"d_{name}" for name, _ in _FIELDS)])
+
+    return run
 
 
 def parse(frames: DataFrame, data: str = "data", link_type: str = "link_type") -> DataFrame:
-    """All layers of each frame; parse_error is set where link or network headers are bad, and then the rest is null."""
-    return transport(network(link(frames, data, link_type), data), data)
+    """All layers of each frame; parse_error is set where link or network headers are bad, and then the rest is null.
+
+    A bad transport header leaves l4_kind null, without an error. Offsets and
+    numbers of all layers come from one pass over Arrow batches in numpy; texts,
+    addresses and payloads are cut out by expressions, as far as they are asked for.
+    """
+    kept = list(frames.columns)
+    made = ", ".join(f"d_{x}" for x in _SCHEMA.split(", "))
+    schema = StructType([*frames.schema.fields, *_parse_schema(made)])
+    rows = frames.mapInArrow(_decoder(kept.index(data), kept.index(link_type), list(range(len(kept)))), schema)
+    c = lambda name: F.col(f"d_{name}")
+    d, at = F.col(data), c("net_at")
+    eth, sll = c("link") == 1, c("link") == 113
+    version, kind, tci, word = c("ip_version"), c("l4"), c("tci"), c("v4_word")
+    name = F.when(F.lit(False), F.lit(""))
+    for k, v in LINK_TYPES.items():
+        name = name.when(c("link") == k, v)
+    layer = F.when(F.lit(False), F.lit(""))
+    for k, v in _KINDS.items():
+        layer = layer.when(kind == k, v)
+    linked = at.isNotNull()
+    icmp = lambda names: _label(c("icmp_type"), names, F.format_string("type(%d)", c("icmp_type")))
+    fields = {
+        "link_kind": name, "parse_error": c("error"), "eth_dst": F.when(linked & eth, mac_text(cut(d, 0, 6))), "eth_src": F.when(linked & eth, mac_text(cut(d, 6, 6))), "ether_type": c("ether_type"),
+        "sll_packet_type": F.when(linked & sll, _label(c("sll_type"), SLL_PACKET_TYPES, F.format_string("type(%d)", c("sll_type")))), "sll_address": F.when(linked & sll, mac_text(cut(d, 6, c("sll_size")))), "loop_family": c("loop_family"),
+        "vlan_priority": F.shiftright(tci, 13), "vlan_dei": F.shiftright(tci, 12).bitwiseAND(1) == 1, "vlan_id": tci.bitwiseAND(0xFFF), "net_at": at, "ip_version": version,
+        "ip_header_len": c("v4_size"), "ip_dscp": F.shiftright(c("v4_tos"), 2), "ip_ecn": c("v4_tos").bitwiseAND(3), "ip_total_length": c("v4_total"), "ip_id": c("v4_id"), "ip_df": word.bitwiseAND(0x4000) != 0, "ip_mf": word.bitwiseAND(0x2000) != 0,
+        "ip_fragment_offset": word.bitwiseAND(0x1FFF) * 8, "ip_ttl": c("ttl"), "ip_checksum": c("v4_checksum"), "ip6_flow_label": c("v6_word").bitwiseAND(0xFFFFF), "ip6_traffic_class": F.shiftright(c("v6_word"), 20).bitwiseAND(255).cast("int"), "ip6_payload_length": c("v6_size"),
+        "src_addr": F.when(version == 4, cut(d, at + 12, 4)).when(version == 6, cut(d, at + 8, 16)), "dst_addr": F.when(version == 4, cut(d, at + 16, 4)).when(version == 6, cut(d, at + 24, 16)),
+        "proto": c("proto"), "l4_at": c("l4_at"), "l4_end": c("l4_end"), "is_fragment": c("is_fragment"), "l4_kind": layer, "src_port": c("src_port"), "dst_port": c("dst_port"), "seq": c("seq"), "ack": c("ack"), "tcp_header_len": c("tcp_size"), "flags": c("flags"),
+        "window": c("window"), "checksum": c("checksum"), "urgent": c("urgent"), "udp_length": c("udp_size"), "icmp_type": c("icmp_type"), "icmp_code": c("icmp_code"), "echo_id": c("echo_id"), "echo_seq": c("echo_seq"),
+        "icmp_text": F.when(kind == _ICMP, icmp(ICMP_TYPES)).when(kind == _ICMP6, icmp(ICMPV6_TYPES)), "payload_at": c("payload_at"), "payload_len": c("payload_len"), "payload": F.when(version.isNotNull(), cut(d, c("payload_at"), c("captured"))),
+    }
+    return rows.select(*[F.col(f"`{x}`") for x in kept if x not in fields], *[x.alias(k) for k, x in fields.items()])
+
+
+def _parse_schema(text: str) -> list[StructField]:
+    kinds = {"int": IntegerType(), "long": LongType(), "string": StringType(), "boolean": BooleanType()}
+    return [StructField(name, kinds[kind]) for name, kind in (x.split() for x in text.split(", "))]
 
 
 def address_number(addr: Column) -> Column:
@@ -177,10 +244,10 @@ def address_number(addr: Column) -> Column:
 
 
 def as_packets(parsed: DataFrame) -> DataFrame:
-    """Parsed IPv4 frames in the shape that the flow operators take."""
-    rows = parsed.where("ip_version = 4 and l4_kind in ('tcp', 'udp')")
+    """Parsed TCP and UDP frames in the shape that the flow operators take; addresses are 4 or 16 bytes, which order as the numbers do."""
+    rows = parsed.where("l4_kind in ('tcp', 'udp')")
     zero = F.lit(0).cast("long")
-    return rows.select("id", "ts_us", "proto", address_number(F.col("src_addr")).alias("src_ip"), "src_port", address_number(F.col("dst_addr")).alias("dst_ip"), "dst_port", "flags", F.coalesce("seq", zero).alias("seq"), F.coalesce("ack", zero).alias("ack"), "wire_len", "payload_len", "is_fragment")
+    return rows.select("id", "ts_us", "proto", F.col("src_addr").alias("src_ip"), "src_port", F.col("dst_addr").alias("dst_ip"), "dst_port", "flags", F.coalesce("seq", zero).alias("seq"), F.coalesce("ack", zero).alias("ack"), "wire_len", "payload_len", "is_fragment")
 
 
 def ipv4_checksum_ok(data: Column, at: Column, header_len: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,33 @@ def ipv4_text(ip: Column) -> Column:
     return F.concat_ws(".", part(24), part(16), part(8), part(0))
 
 
+def ipv6_text(b: Column) -> Column:
+    """The shortest form (RFC 5952) of 16 bytes; IPv4-mapped addresses end in a dotted quad."""
+    digits = F.lower(F.hex(b))
+    whole = F.concat_ws(":", *[F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)])
+    out = whole
+    for n in range(2, 9):  # the longest run of zero groups goes, the first of equal ones: so the longest is asked for first
+        run = rf"(?:^|:)0(?::0){{{n - 1}}}(?::|$)"
+        out = F.when(whole.rlike(run), F.regexp_replace(whole, rf"^(.*?){run}(.*)$", "$1::$2")).otherwise(out)
+    mapped = F.concat(F.lit("::ffff:"), ipv4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")))
+    return F.when(F.substring(digits, 1, 24) == "0" * 20 + "ffff", mapped).otherwise(out)
+
+
+#: What addresses are in a packets table: IPv4 as unsigned integers, or 4 or 16 bytes.
+NUMBER, BYTES = "bigint", "binary"
+
+
+def address_kind(rows: DataFrame, column: str) -> str:
+    return dict(rows.dtypes)[column]
+
+
+def ip_text(ip: Column, kind: str) -> Column:
+    if kind != BYTES:
+        return ipv4_text(ip)
+    four = ipv4_text(F.conv(F.hex(ip), 16, 10).cast("long"))
+    return F.when(F.octet_length(ip) == 4, four).when(F.octet_length(ip) == 16, ipv6_text(ip))
+
+
 def mac_text(b: Column) -> Column:
     return F.regexp_replace(F.lower(F.hex(b)), "(..)(?!$)", "$1:")
 
@@ -26,8 +53,12 @@ def protocol_text(proto: Column) -> Column:
     return F.when(proto == 6, "tcp").when(proto == 17, "udp").otherwise(F.concat(F.lit("proto("), proto.cast("string"), F.lit(")")))
 
 
-def endpoint_text(ip: Column, port: Column) -> Column:
-    return F.concat(ipv4_text(ip), F.lit(":"), port.cast("string"))
+def endpoint_text(ip: Column, port: Column, kind: str = NUMBER) -> Column:
+    """address:port, with an IPv6 address in brackets."""
+    text = ip_text(ip, kind)
+    if kind == BYTES:
+        text = F.when(F.octet_length(ip) == 16, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    return F.concat(text, F.lit(":"), port.cast("string"))
 
 
 def mbps(octets: Column, seconds: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlark.functions.net import clock_text, endpoint_text, flags_text, protocol_text
+from flowlark.functions.net import address_kind, clock_text, endpoint_text, flags_text, protocol_text
 
 
 def sample(packets: DataFrame, every: int) -> DataFrame:
@@ -18,11 +18,31 @@ def first_packets(packets: DataFrame, count: int) -> DataFrame:
     return packets.where(F.col("id") <= count) if count > 0 else packets
 
 
+#: Frames of a file that are numbered in one go.
+SPAN = 65_536
+
+
+def numbered(frames: DataFrame) -> DataFrame:
+    """frames (file, id) with id counted from 1 over all files, in the order of their names, without gaps (so, after a filter, of what it kept).
+
+    Counts by file and span of ids are added up (a row per span), and rows are
+    numbered within their span, so that one file is many tasks' work.
+    """
+    at = F.floor((F.col("id") - 1) / SPAN).cast("long")
+    rows = frames.withColumns({"f_": F.coalesce("file", F.lit("")), "s_": at})
+    spans = rows.groupBy(F.col("f_").alias("o_f"), F.col("s_").alias("o_s")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("o_f", "o_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select("o_f", "o_s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o_n"))
+    rows = rows.join(offsets, (F.col("f_") == F.col("o_f")) & (F.col("s_") == F.col("o_s")))
+    nth = F.row_number().over(Window.partitionBy("f_", "s_").orderBy("id"))
+    return rows.withColumn("id", (F.col("o_n") + nth).cast("long")).select(*frames.columns)
+
+
 def summary(packets: DataFrame) -> DataFrame:
     """id, time, length, protocol, src, dst, info."""
-    tcp = F.col("proto") == 6
+    tcp, kind = F.col("proto") == 6, address_kind(packets, "src_ip")
     info = F.when(tcp, F.format_string("%s seq=%d ack=%d len=%d", flags_text(F.col("flags")), "seq", "ack", "payload_len")).otherwise(F.format_string("len=%d", "payload_len"))
-    return packets.select("id", clock_text(F.col("ts_us")).alias("time"), F.col("wire_len").alias("len"), protocol_text(F.col("proto")).alias("protocol"), endpoint_text(F.col("src_ip"), F.col("src_port")).alias("src"), endpoint_text(F.col("dst_ip"), F.col("dst_port")).alias("dst"), info.alias("info"))
+    return packets.select("id", clock_text(F.col("ts_us")).alias("time"), F.col("wire_len").alias("len"), protocol_text(F.col("proto")).alias("protocol"), endpoint_text(F.col("src_ip"), F.col("src_port"), kind).alias("src"), endpoint_text(F.col("dst_ip"), F.col("dst_port"), kind).alias("dst"), info.alias("info"))
 
 
 def store(packets: DataFrame, capacity: int) -> DataFrame:
@@ -52,6 +72,7 @@ def csv_lines(flows: DataFrame) -> DataFrame:
     return flows.select(F.concat_ws(",", *cols).alias("line"))
 
 
+# The columns of the CSV export.
 CSV_HEADER = "protocol,endpoint_a_ip,endpoint_a_port,endpoint_b_ip,endpoint_b_port,first_seen,last_seen,duration_secs,packets_a_to_b,packets_b_to_a,bytes_a_to_b,bytes_b_to_a,packets_total,bytes_total,avg_bps,tcp_state,client,retransmissions,out_of_order,rtt_last_ms,rtt_min_ms,rtt_ewma_ms,rtt_samples"
 
 

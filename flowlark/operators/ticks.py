@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlark.functions.net import mbps, pps, prometheus_label
-from flowlark.operators.flow import KEY, with_key
+from flowlark.functions.net import address_kind, mbps, pps, prometheus_label
+from flowlark.operators.flow import KEY, active_flows, with_key
 
 
 def tick_of(interval_us: int):
@@ -17,13 +17,18 @@ def tick_of(interval_us: int):
 
 
 def tick_stats(packets: DataFrame, interval_us: int = 1_000_000, timeout_us: int = 60_000_000) -> DataFrame:
-    """tick, packets, bytes, mbps, pps, active_flows (flows with a packet in the tick), drops (Spark drops none)."""
+    """tick, packets, bytes, mbps, pps, active_flows, drops (Spark drops none).
+
+    packets may hold frames of any kind, all of which count; active_flows is the
+    size of the flow table at the tick's end, under the exact timeout rule.
+    """
     secs = F.lit(interval_us / 1e6)
-    rows = packets.withColumn("tick", tick_of(interval_us))
-    total = rows.groupBy("tick").agg(F.count("*").alias("packets"), F.sum("wire_len").cast("long").alias("bytes"))
-    flows = with_key(rows).select("tick", *KEY).distinct().groupBy(F.col("tick").alias("t")).agg(F.count("*").alias("active_flows"))
-    out = total.join(flows, F.col("tick") == F.col("t"), "left")
-    return out.select("tick", "packets", "bytes", F.round(mbps(F.col("bytes"), secs), 6).alias("mbps"), F.round(pps(F.col("packets"), secs), 6).alias("pps"), F.coalesce("active_flows", F.lit(0)).alias("active_flows"), F.lit(0).cast("long").alias("dispatch_drops"))
+    total = packets.groupBy(tick_of(interval_us).alias("tick")).agg(F.count("*").alias("packets"), F.sum("wire_len").cast("long").alias("bytes"))
+    flows = active_flows(packets, timeout_us, interval_us).withColumnRenamed("tick", "t")
+    # a tick without a flow's packet has as many flows as the one before it, but for those that ended: both have a row of their own
+    out = total.join(flows, F.col("tick") == F.col("t"), "full").withColumn("tick", F.coalesce("tick", "t"))
+    out = out.withColumn("active_flows", F.coalesce(F.last("active_flows", ignorenulls=True).over(Window.orderBy("tick")), F.lit(0)))
+    return out.where("packets is not null").select("tick", "packets", "bytes", F.round(mbps(F.col("bytes"), secs), 6).alias("mbps"), F.round(pps(F.col("packets"), secs), 6).alias("pps"), "active_flows", F.lit(0).cast("long").alias("dispatch_drops"))
 
 
 def dense_ticks(ticks: DataFrame) -> DataFrame:
@@ -49,15 +54,20 @@ def top_flows_total(packets: DataFrame, n: int) -> DataFrame:
     return flows.orderBy(F.desc("bytes_total"), *KEY).limit(n)
 
 
-CARRY_SCHEMA = "tick long, proto int, a_ip long, a_port long, b_ip long, b_port long, delta_bytes long, rank int"
-
-
 def top_flows_carry(packets: DataFrame, n: int, interval_us: int = 1_000_000) -> DataFrame:
     """As top_flows, but bytes of flows that were not reported carry over to the next tick.
 
     Which flows are reported depends on all flows of all ticks before: one fold
     over the per-tick sums in order, with the unreported flows as state.
     """
+    deltas = tick_deltas(packets, interval_us).select("tick", *KEY, "delta_bytes")
+    ip = address_kind(deltas, "a_ip")
+    schema = f"tick long, proto int, a_ip {ip}, a_port long, b_ip {ip}, b_port long, delta_bytes long, rank int"
+    kind = pa.binary() if ip == "binary" else pa.int64()
+    types = [pa.int64(), pa.int32(), kind, pa.int64(), kind, pa.int64(), pa.int64(), pa.int32()]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     def run(batches):
         import heapq
@@ -78,20 +88,14 @@ def top_flows_carry(packets: DataFrame, n: int, interval_us: int = 1_000_000) ->
                 at = tick
                 owed[p, ai, ap, bi, bp] = owed.get((p, ai, ap, bi, bp), 0) + v
             if len(rows) > 1000:
-                yield _carry(rows)
+                yield batch(rows)
                 rows = []
         if at is not None:
             rows += report()
         if rows:
-            yield _carry(rows)
+            yield batch(rows)
 
-    deltas = tick_deltas(packets, interval_us).select("tick", *KEY, "delta_bytes")
-    return deltas.repartition(1).sortWithinPartitions("tick", *KEY).mapInArrow(run, CARRY_SCHEMA)
-
-
-def _carry(rows):
-    types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in CARRY_SCHEMA.split(", ")])
+    return deltas.repartition(1).sortWithinPartitions("tick", *KEY).mapInArrow(run, schema)
 
 
 def space_saving(packets: DataFrame, n: int, interval_us: int = 1_000_000) -> DataFrame:
@@ -101,6 +105,12 @@ def space_saving(packets: DataFrame, n: int, interval_us: int = 1_000_000) -> Da
     """
     capacity = max(4 * n, 16)
     names = ["tick", *KEY, "estimate", "error"]
+    rows = with_key(packets).withColumn("tick", tick_of(interval_us)).select("tick", F.col("proto").cast("long").alias("proto"), *KEY[1:], "wire_len", "id")
+    ip = address_kind(rows, "a_ip")
+    types = [pa.binary() if ip == "binary" and c in ("a_ip", "b_ip") else pa.int64() for c in names]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def run(batches):
         at, counts, errors, out = None, {}, {}, []
@@ -124,14 +134,14 @@ def space_saving(packets: DataFrame, n: int, interval_us: int = 1_000_000) -> Da
                     errors.pop(least)
                     counts[k], errors[k] = e + v, e
             if len(out) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                yield batch(out)
                 out = []
         out += close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            yield batch(out)
 
-    rows = with_key(packets).withColumn("tick", tick_of(interval_us)).select("tick", F.col("proto").cast("long").alias("proto"), *KEY[1:], "wire_len", "id")
-    return rows.repartition("tick").sortWithinPartitions("tick", "id").drop("id").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    schema = ", ".join(f"{c} {ip if c in ('a_ip', 'b_ip') else 'long'}" for c in names)
+    return rows.repartition("tick").sortWithinPartitions("tick", "id").drop("id").mapInArrow(run, schema)
 
 
 def candidate_deltas(packets: DataFrame, candidates: DataFrame, interval_us: int = 1_000_000) -> DataFrame:
@@ -154,10 +164,10 @@ def capture_summary(packets: DataFrame) -> DataFrame:
     return out.withColumn("parsed_percent", F.when(F.col("packets") > 0, F.round((F.col("packets") - F.col("parse_errors")) * 100.0 / F.col("packets"), 4)).otherwise(0.0))
 
 
-def dashboard_ticks(packets: DataFrame, n: int = 10, interval_us: int = 1_000_000) -> DataFrame:
+def dashboard_ticks(packets: DataFrame, n: int = 10, interval_us: int = 1_000_000, timeout_us: int = 60_000_000) -> DataFrame:
     """tick_stats with the tick's top flows as an array ordered by rank."""
     top = top_flows(packets, n, interval_us).groupBy(F.col("tick").alias("t")).agg(F.sort_array(F.collect_list(F.struct("rank", *KEY, "delta_bytes", "delta_packets"))).alias("top_flows"))
-    return tick_stats(packets, interval_us).join(top, F.col("tick") == F.col("t"), "left").drop("t")
+    return tick_stats(packets, interval_us, timeout_us).join(top, F.col("tick") == F.col("t"), "left").drop("t")
 
 
 # The exposition's metric names, kinds and help texts are ours; the format is Prometheus text 0.0.4.

@@ -18,7 +18,8 @@ _STOP = {"and", "or", "not", "&&", "||", "!", "(", ")"}
 
 
 class _Parser:
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, frames: bool = False) -> None:
+        self.frames = frames
         self.tokens, at = [], 0
         text = text.strip()
         while at < len(text):
@@ -65,11 +66,21 @@ class _Parser:
         return self.primitive()
 
     def primitive(self) -> Column:
+        # frames without the field that is asked for do not match, so that "not" takes them
+        return F.coalesce(self.test(), F.lit(False)) if self.frames else self.test()
+
+    def end(self, side: str, lo, hi) -> Column:
+        """Whether the address at a side is between two of the same version."""
+        if self.frames:
+            c = F.col(f"{side}_addr")
+            return (F.octet_length(c) == len(lo.packed)) & c.between(F.lit(bytearray(lo.packed)), F.lit(bytearray(hi.packed)))
+        return F.col(f"{side}_ip").between(int(lo), int(hi)) if lo.version == 4 else F.lit(False)
+
+    def test(self) -> Column:
         t, parts, side = self.take(), [], None
         if t in ("ip", "ip6"):
-            if t == "ip6":
-                return F.lit(False)  # the packets view has IPv4 only
-            parts.append(F.lit(True))
+            version = 6 if t == "ip6" else 4  # packets with numbers for addresses are IPv4
+            parts.append(F.col("ip_version") == version if self.frames else F.lit(version == 4))
         elif t in _PROTO:
             parts.append(F.col("proto") == _PROTO[t])
         if parts:
@@ -83,12 +94,11 @@ class _Parser:
             return F.col("wire_len") <= n if t == "less" else F.col("wire_len") >= n
         either = lambda f: f(side) if side else f("src") | f("dst")
         if t == "host":
-            a = int(ipaddress.IPv4Address(self.take()))
-            parts.append(either(lambda s: F.col(f"{s}_ip") == a))
+            a = ipaddress.ip_address(self.take())
+            parts.append(either(lambda s: self.end(s, a, a)))
         elif t == "net":
-            n = ipaddress.IPv4Network(self.take(), strict=False)
-            lo, hi = int(n.network_address), int(n.broadcast_address)
-            parts.append(either(lambda s: F.col(f"{s}_ip").between(lo, hi)))
+            n = ipaddress.ip_network(self.take(), strict=False)
+            parts.append(either(lambda s: self.end(s, n.network_address, n.broadcast_address)))
         elif t in ("port", "portrange"):
             lo, _, hi = self.take().partition("-")
             lo, hi = int(lo), int(hi or lo)
@@ -101,11 +111,11 @@ class _Parser:
         return out
 
 
-def compile_filter(text: str | None) -> Column:
-    """A predicate over packets; an empty filter takes all."""
+def compile_filter(text: str | None, frames: bool = False) -> Column:
+    """A predicate over packets, or over parsed frames of any kind (decode.parse); an empty filter takes all."""
     if not text or not text.strip():
         return F.lit(True)
-    p = _Parser(text)
+    p = _Parser(text, frames)
     out = p.any()
     if p.peek() is not None:
         raise ValueError(f"unexpected {p.peek()}")

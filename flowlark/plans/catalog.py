@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -173,11 +173,16 @@ _TICK = "t AS (SELECT *, ts_us // 1000000 AS tick FROM kp)"
 _DELTA = f"{_TICK}, d AS (SELECT tick, {_K}, CAST(sum(wire_len) AS BIGINT) AS delta_bytes, count(*) AS delta_packets FROM t GROUP BY ALL)"
 
 
-@query(f"""{_TICK}, a AS (SELECT tick, count(*) AS active_flows FROM (SELECT DISTINCT tick, {_K} FROM t) GROUP BY tick)
+# lives of flows in ticks, and how many are in the table at a tick's end
+_ACTIVE = f"""{_EXACT}, {_TICK}, lv AS (SELECT min(ts_us) // 1000000 AS t0, max(expired_us) // 1000000 AS t1 FROM e GROUP BY {_K}, generation),
+a AS (SELECT tick, count(*) FILTER (WHERE t0 <= tick AND (t1 IS NULL OR t1 > tick)) AS active_flows FROM (SELECT DISTINCT tick FROM t), lv GROUP BY tick)"""
+
+
+@query(f"""{_ACTIVE}
 SELECT t.tick, count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes, round(sum(wire_len) * 8 / 1.0 / 1e6, 6) AS mbps, round(count(*) / 1.0, 6) AS pps, any_value(active_flows) AS active_flows, CAST(0 AS BIGINT) AS dispatch_drops
 FROM t JOIN a USING (tick) GROUP BY t.tick""")
 def tick_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.tick_stats(packets(spark, sf_dir))
+    return ticks.tick_stats(packets(spark, sf_dir), timeout_us=TIMEOUT_US)
 
 
 @query(f"{_DELTA} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY tick ORDER BY delta_bytes DESC, {_K}) AS INTEGER) AS rank FROM d WHERE delta_bytes > 0) WHERE rank <= 10")
@@ -384,11 +389,11 @@ def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.capture_summary(_parsed(spark, sf_dir))
 
 
-@query(f"""{_TICK}, l AS (SELECT max(tick) AS m FROM t), a AS (SELECT count(*) AS n FROM (SELECT DISTINCT {_K} FROM t, l WHERE tick = m)), s AS (SELECT count(*) AS p, sum(wire_len) AS b FROM t)
+@query(f"""{_ACTIVE}, g AS (SELECT arg_max(active_flows, tick) AS n FROM a), s AS (SELECT count(*) AS p, sum(wire_len) AS b FROM t)
 SELECT concat('# TYPE flowlark_build_info gauge', chr(10), 'flowlark_build_info{{version="1"}} 1', chr(10), '# TYPE flowlark_capture_packets_total counter', chr(10), 'flowlark_capture_packets_total ', p, chr(10),
- '# TYPE flowlark_capture_bytes_total counter', chr(10), 'flowlark_capture_bytes_total ', b, chr(10), '# TYPE flowlark_flow_active gauge', chr(10), 'flowlark_flow_active ', n, chr(10), '# TYPE flowlark_dispatch_drops_total counter', chr(10), 'flowlark_dispatch_drops_total 0', chr(10)) AS text FROM s, a""")
+ '# TYPE flowlark_capture_bytes_total counter', chr(10), 'flowlark_capture_bytes_total ', b, chr(10), '# TYPE flowlark_flow_active gauge', chr(10), 'flowlark_flow_active ', n, chr(10), '# TYPE flowlark_dispatch_drops_total counter', chr(10), 'flowlark_dispatch_drops_total 0', chr(10)) AS text FROM s, g""")
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.prometheus_text(ticks.tick_stats(packets(spark, sf_dir)))
+    return ticks.prometheus_text(ticks.tick_stats(packets(spark, sf_dir), timeout_us=TIMEOUT_US))
 
 
 @query("""x AS (SELECT range AS i FROM range(100000)), y AS (SELECT DISTINCT 167772160 + (i & 16777215) AS s, 1024 + i % 48000 AS sp, 2886729728 + (i & 65535) AS d FROM x) SELECT count(*) AS flows, CAST(100000 * 60 AS BIGINT) AS bytes FROM y""")
@@ -437,18 +442,86 @@ def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("l", lambda x: F.substring(x, 1, 4)), ",").alias("offsets"), F.substring(F.col("l")[0], 5, 100).alias("first_line"))
 
 
-@query(f"""{_DELTA}, r AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY delta_bytes DESC, {_K}) AS rank FROM d)
-SELECT t.tick, count(*) AS packets, any_value(n) AS n_top FROM t JOIN (SELECT tick, count(*) AS n FROM r WHERE rank <= 10 GROUP BY tick) q USING (tick) GROUP BY t.tick""")
+@query(f"""{_ACTIVE}, d AS (SELECT tick, {_K}, CAST(sum(wire_len) AS BIGINT) AS delta_bytes, count(*) AS delta_packets FROM t GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY tick ORDER BY delta_bytes DESC, {_K}) AS INTEGER) AS rank FROM d),
+n AS (SELECT tick, count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes FROM t GROUP BY tick)
+SELECT tick, packets, bytes, active_flows, rank, {_K}, delta_bytes, delta_packets FROM n JOIN a USING (tick) JOIN r USING (tick) WHERE rank <= 10""")
 def dashboard_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.dashboard_ticks(packets(spark, sf_dir)).select("tick", "packets", F.array_size("top_flows").cast("long").alias("n_top"))
+    rows = ticks.dashboard_ticks(packets(spark, sf_dir), timeout_us=TIMEOUT_US)
+    return rows.select("tick", "packets", "bytes", "active_flows", F.explode("top_flows").alias("f")).select("tick", "packets", "bytes", "active_flows", "f.*")
 
 
-@query(f"""{_TICK}, s AS (SELECT tick, count(*) AS n FROM t GROUP BY tick) SELECT t.tick, count(*) AS packets, coalesce(any_value(s.n), 0) AS n_samples FROM t LEFT JOIN s USING (tick) GROUP BY t.tick""")
+@query(f"""{_ACTIVE} SELECT t.tick, count(*) AS packets, any_value(active_flows) AS active_flows, string_agg(concat(id, ':', ts_us, ':', wire_len), ',' ORDER BY id) AS samples FROM t JOIN a USING (tick) GROUP BY t.tick""")
 def frames_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
     found = anomaly.describe(anomaly.flood_alerts(p, **FLOOD), anomaly.scan_alerts(p, **SCAN))
-    rows = capture.frames_per_tick(ticks.tick_stats(p), capture.sample(p, 1), found)
-    return rows.select("tick", "packets", F.coalesce(F.array_size("samples"), F.lit(0)).cast("long").alias("n_samples"))
+    rows = capture.frames_per_tick(ticks.tick_stats(p, timeout_us=TIMEOUT_US), capture.sample(p, 1), found)
+    return rows.select("tick", "packets", "active_flows", F.array_join(F.transform("samples", lambda x: F.concat_ws(":", x["id"], x["ts_us"], x["wire_len"])), ",").alias("samples"))
+
+
+def _v6_text(c: str) -> str:
+    return f"printf('2001:db8::%x:%x', {c} >> 16, {c} & 65535)"
+
+
+@query(f"""k6 AS (SELECT * REPLACE (payload_len + CASE WHEN proto = 17 THEN 28 ELSE 40 END AS wire_len) FROM kp), f AS ({_counted('k6')})
+SELECT {_SNAPSHOT.replace(_ip('a_ip'), _v6_text('a_ip')).replace(_ip('b_ip'), _v6_text('b_ip'))} FROM f""")
+def flow_table_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packets over IPv6: addresses of 16 bytes order, group and print as such."""
+    rows = _v6(packets(spark, sf_dir)).select("id", "ts_us", "wire_len", "link_type", "data")
+    return flow.flow_table(decode.as_packets(decode.parse(rows)))
+
+
+@query(f"""{_SEGMENTS}, {_STATE} SELECT {_v6_text('a_ip')} AS a_ip, a_port, {_v6_text('b_ip')} AS b_ip, b_port, tcp_state, client, retransmissions, out_of_order FROM tcp JOIN ro USING ({_K})""")
+def flow_table_v6_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _v6(packets(spark, sf_dir)).select("id", "ts_us", "wire_len", "link_type", "data")
+    table = flow.full_table(decode.as_packets(decode.parse(rows)), track_rtt=False)
+    return table.where("protocol = 'tcp'").select("a_ip", "a_port", "b_ip", "b_port", "tcp_state", "client", "retransmissions", "out_of_order")
+
+
+def _in_files(frames_: DataFrame) -> DataFrame:
+    """The frames as three capture files, one after another, whose records count from 1 each."""
+    part = F.ntile(3).over(Window.orderBy("id"))
+    rows = frames_.withColumn("file", F.concat(F.lit("cap."), F.lpad(part.cast("string"), 6, "0"), F.lit(".pcap")))
+    return rows.withColumn("id", F.row_number().over(Window.partitionBy("file").orderBy("id")).cast("long"))
+
+
+@query(ORACLES["flow_table_full"].removeprefix(f"WITH packets AS ({PACKETS_SQL}), {_KEYED}, "))
+def flow_table_three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows whose packets are spread over rotated captures: one numbering, so first and last, states and round trips are those of the whole."""
+    rows = capture.numbered(_in_files(frames(packets(spark, sf_dir))))
+    return flow.full_table(decode.as_packets(decode.parse(rows))).withColumn("rtt_ewma_ms", F.round("rtt_ewma_ms", 6))
+
+
+@query("""x AS (SELECT id, row_number() OVER (ORDER BY id) AS n, wire_len FROM packets WHERE proto = 17) SELECT n AS id, wire_len FROM x WHERE n <= 100""")
+def captured_and_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter, numbering and count of a run: the first hundred of what the filter keeps."""
+    parsed = decode.parse(_in_files(frames(packets(spark, sf_dir)))).where(compile_filter("udp", frames=True))
+    return capture.first_packets(capture.numbered(parsed.select("file", "id", "wire_len")), 100).select("id", "wire_len")
+
+
+@query("""x AS (SELECT 1) SELECT id FROM packets WHERE CASE id % 3 WHEN 2 THEN true WHEN 1 THEN proto = 17 AND (src_port = 53 OR dst_port = 53) ELSE proto = 6 AND src_ip BETWEEN 167772160 AND 167772415 END""")
+def frame_filter_bpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv4, IPv6 and ICMP frames under one filter, before any of them is a flow's packet."""
+    p = packets(spark, sf_dir)
+    cols = ("id", "ts_us", "wire_len", "link_type", "data")
+    icmp = F.unhex(F.lit("4500001c0000400040010000" + "01010101" + "02020202" + "0800000000010002"))
+    rows = frames(p.where("id % 3 = 0"), 101).select(*cols).unionByName(_v6(p.where("id % 3 = 1")).select(*cols))
+    rows = rows.unionByName(frames(p.where("id % 3 = 2"), 101).withColumn("data", icmp).select(*cols))
+    text = "icmp or (ip6 and udp port 53 and not host 2001:db9::1) or (ip and tcp and src net 10.0.0.0/24)"
+    return decode.parse(rows).where(compile_filter(text, frames=True)).select("id")
+
+
+@query("""x AS (SELECT id, id % 65536 AS g, id // 65536 % 65536 AS h FROM packets)
+SELECT id, CASE id % 6 WHEN 0 THEN '::' WHEN 1 THEN '::1' WHEN 2 THEN printf('2001:db8:0:1::%x', CASE WHEN g = 0 THEN 1 ELSE g END) WHEN 3 THEN concat('::ffff:10.', g // 256, '.', g % 256, '.7')
+ WHEN 4 THEN printf('fe80::%x:0:0:1', 1 + g % 65535) ELSE '1:2:3:4:5:6:7:8' END AS text FROM x""")
+def ipv6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero groups at the start, in the middle and nowhere, two runs of them, and mapped IPv4."""
+    k, g = F.col("id") % 6, F.col("id") % 65536
+    h = lambda x: F.lpad(F.hex(x.cast("long")), 4, "0")
+    z = F.lit
+    digits = F.when(k == 0, z("0" * 32)).when(k == 1, z("0" * 31 + "1")).when(k == 2, F.concat(z("20010db800000001" + "0" * 12), h(F.when(g == 0, 1).otherwise(g))))
+    digits = digits.when(k == 3, F.concat(z("0" * 20 + "ffff0a"), h(g), z("07"))).when(k == 4, F.concat(z("fe80" + "0" * 12), h(1 + g % 65535), z("0" * 8 + "0001"))).otherwise(z("".join(f"{i:04x}" for i in range(1, 9))))
+    return packets(spark, sf_dir).select("id", net.ip_text(F.unhex(digits), net.BYTES).alias("text"))
 
 
 @query(f"{_FLOWS} SELECT {_SNAPSHOT} FROM f")

@@ -197,6 +197,8 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         if self.rotate is not None:
+            if TaskContext.get().partitionId():
+                raise ValueError("a rotated series is one file after another: coalesce(1) first")
             out = Rotation(self.path, self.link, int(float(self.rotate) * (1 << 20)), int(self.keep))
             for r in rows:
                 out.write(r["ts_us"], r["wire_len"], bytes(r["data"]))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowlark.functions.net import BYTES, address_kind, ip_text
 from flowlark.operators import anomaly
 from flowlark.operators.flow import KEY, with_key
 
@@ -64,15 +65,25 @@ def _detector(window_us: int, cooldown_us: int, values: int, fires):
     return run
 
 
+def _plain(rows: DataFrame) -> DataFrame:
+    """Addresses of bytes as text where they are keys, and as a hash where they are counted (h_src_ip, h_dst_ip)."""
+    for c in ("src_ip", "dst_ip"):
+        octets = address_kind(rows, c) == BYTES
+        rows = rows.withColumn(f"h_{c}", F.xxhash64(c) if octets else F.col(c))
+        if octets:
+            rows = rows.withColumn(c, ip_text(F.col(c), BYTES))
+    return rows
+
+
 def flood_alerts(packets: DataFrame, window_us: int, syns: int, sources: int, cooldown_us: int, delay: str = "10 seconds") -> DataFrame:
     """SYN flood alerts; state per target: its window and cooldown, dropped once both have passed."""
-    rows = with_time(anomaly.flood_input(packets), delay).select("id", "ts_us", "ts", "dst_ip", "dst_port", F.col("src_ip").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = _plain(with_time(anomaly.flood_input(packets), delay)).select("id", "ts_us", "ts", "dst_ip", "dst_port", F.col("h_src_ip").alias("a"), F.lit(0).cast("long").alias("b"))
     return rows.groupBy("dst_ip", "dst_port").applyInPandasWithState(_detector(window_us, cooldown_us, 1, lambda g: g[0] >= syns and g[1] >= sources), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scan_alerts(packets: DataFrame, window_us: int, ports: int, hosts: int, cooldown_us: int, delay: str = "10 seconds") -> DataFrame:
     """Port scan alerts; state per source."""
-    rows = with_time(anomaly.scan_input(packets), delay).select("id", "ts_us", "ts", "src_ip", F.col("dst_port").cast("long").alias("a"), F.col("dst_ip").alias("b"))
+    rows = _plain(with_time(anomaly.scan_input(packets), delay)).select("id", "ts_us", "ts", "src_ip", F.col("dst_port").cast("long").alias("a"), F.col("h_dst_ip").alias("b"))
     return rows.groupBy("src_ip").applyInPandasWithState(_detector(window_us, cooldown_us, 2, lambda g: g[1] >= ports or g[2] >= hosts), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
