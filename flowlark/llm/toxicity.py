@@ -3,7 +3,8 @@
 A word's embedding is the sum of hashed rows for the word and its first three,
 four and five letters. Filters of width one to three run over the words, the
 maximum of each over the whole text goes through a ReLU into a logistic unit.
-Training is by minibatches on a bounded sample of labelled rows. Each language's
+All weights start at random; training is by minibatches, with Adagrad steps, on a
+bounded sample of labelled rows. Each language's
 decision threshold comes from all usable labelled rows, counted by label,
 language and logit, and is mapped to the same score. The language is guessed from
 the text's function words, never read from a column.
@@ -94,7 +95,7 @@ class TextCNN:
             out[:, i * FILTERS : (i + 1) * FILTERS] = sum(x[j : j + n] @ w[j] for j in range(k))
         return out
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 3, batch: int = 32, rate: float = 0.02, seed: int = 1) -> TextCNN:
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 0.1, seed: int = 1) -> TextCNN:
         """Three quarters of the examples train, the rest calibrates the thresholds (train() does that again over all rows)."""
         if not texts or len(set(labels)) < 2:
             return self
@@ -104,19 +105,7 @@ class TextCNN:
         y = np.array(labels, dtype=np.float32)
         part = np.array([xxhash.xxh32_intdigest(t.encode()) % 4 for t in texts])
         train = np.flatnonzero(part > 0) if len(set(labels[i] for i in np.flatnonzero(part > 0))) == 2 else np.arange(len(y))
-        # the first dimension starts as the rows' log odds over documents, and the first filter of width one reads it
-        on = [np.zeros(ROWS), np.zeros(ROWS)]
-        for i in train:
-            on[int(y[i])][np.unique(table[docs[i]])] += 1
         n1, n0 = y[train].sum(), len(train) - y[train].sum()
-        # (less two standard errors, so that rare rows start near nothing)
-        odds = np.log((on[1] + 1) / (n1 + 2)) - np.log((on[0] + 1) / (n0 + 2))
-        doubt = 2 * np.sqrt(1 / (on[1] + 1) + 1 / (on[0] + 1))
-        self.e[1:, 0] = (np.sign(odds) * np.maximum(np.abs(odds) - doubt, 0))[1:] / 4
-        self.w[0][0, :, 0] = 0
-        self.w[0][0, 0, 0] = 1.0
-        self.v[0] = 2.0
-        self.c = np.float32(-4.0)
         pos = n0 / max(n1, 1)
         r = np.random.default_rng(seed)
         ge = np.full((ROWS, 1), 1e-2, dtype=np.float32)
