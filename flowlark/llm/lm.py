@@ -7,11 +7,16 @@ three features: the previous word, the previous two, and the word before the
 previous one (skip). P(word | class) is the softmax of the word's own weight,
 whose maximum-likelihood value is the relative frequency in the class.
 
-Counts come from all training documents through the distinct-word table.
-Weights start from the features' class counts, then take iterative-scaling
-steps: each round, tasks compute what the model expects of every feature and
-class on their share, the sums are added by slices of the weight table, and the
-driver moves the weights. All passes are numpy batches over packed positions.
+Counts come from all training documents through the distinct-word table, and
+the number of hashed rows a feature follows from them: it grows with the square
+root of the training tokens. Weights start from the features' class counts and
+are trained by distributed gradient steps: the chunks of training text are dealt
+into BATCHES at random; each step, tasks compute on one batch by how much what
+the model expects of every feature and class differs from what is there (the
+gradient of the log-likelihood), the sums are added by slices of the weight
+table, and the driver moves the weights, by a step scaled by each weight's
+count. An epoch sees every training token once. All passes are numpy batches
+over packed positions.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import crc_bucket, materialise, shuffle_partitions, words_of
+from flowlark.llm.common import crc_bucket, materialise, release, shuffle_partitions, trimmed, words_of
 from flowlark.llm.wordblocks import BLOCK_CHARS, block_tables, checksum, joined, meet, record_batch
 
 SUFFIXES = 24
@@ -32,16 +37,27 @@ BANDS = 3
 END, UNKNOWN = SUFFIXES * BANDS, SUFFIXES * BANDS + 1
 CLASSES = SUFFIXES * BANDS + 2
 FEATURES = 3
-ROWS = 2048
-CONTEXTS = (1 << 14) - 1
+#: Hashed rows a feature: at least so many, and the square root of the training tokens (see table_rows).
+ROWS = 4096
+CONTEXTS = (1 << 22) - 1
 SLICES = 48
 STEP_TOKENS = 16_384
-ROUNDS = 2
+#: The training chunks are dealt into so many batches, one a gradient step; EPOCHS times all of them.
+BATCHES = 4
+EPOCHS = 2
+RATE = 0.6
+#: Weights are drawn to their start as if each had been seen so often.
+DAMPING = 20
 #: Row groups of the token table, so that its reads are split evenly.
 GROUP_BYTES = 4 << 20
 _END_WORD = " "  # no word has a blank
 
 
+def table_rows(n: int) -> int:
+    """Hashed rows a feature for n training tokens: the largest power of two up to the square root of n, ROWS at least."""
+    return max(ROWS, 1 << (max(n, 1).bit_length() - 1) // 2)
+
+
 def tokens(text: str) -> list[str]:
     """Words with A-Z in lower case (no other letter changes), then the end."""
     return [*words_of(text.encode().lower().decode()), _END_WORD]
@@ -114,7 +130,7 @@ class Statistics:
         cls[c == 0] = UNKNOWN
         base = np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
         own = np.where(cls < END, np.log10(np.maximum(c, 1) / np.maximum(self.mass[cls], 1)), 0.0)
-        return cls.astype(np.uint8), (f >> 8).astype(np.uint16), base, own
+        return cls.astype(np.uint8), f >> 8, base, own
 
 
 def _added(batches):
@@ -128,7 +144,7 @@ def _added(batches):
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["a"])
 
 
-TOKEN_SCHEMA = "ids binary, flags binary, lens binary, sums binary, classes binary, contexts binary"
+TOKEN_SCHEMA = "batch int, ids binary, flags binary, lens binary, sums binary, classes binary, contexts binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -146,30 +162,32 @@ def _assemble(stats: Statistics):
         c = np.frombuffer(b"".join(a), dtype="<i8")
         return c, *stats.describe(c, np.frombuffer(b"".join(b), dtype="<u4"))
 
+    @trimmed
     def run(batches):
         for (c, cls, ctx, base, own), ids, flags, lens, at in joined(batches, build):
             starts = np.cumsum(lens) - lens  # never empty: each text has its end
             sums = np.stack([np.add.reduceat(base[at], starts), np.add.reduceat(own[at], starts), np.add.reduceat((c[at] > 0).astype(float), starts)])
             once = (c[at] == 1) & (cls[at] != END)
-            row = (ids.tobytes(), flags.tobytes(), lens.astype("<i4").tobytes(), sums.astype("<f8").tobytes(), _pack(cls[at]), _pack(ctx[at] | (once.astype(np.uint16) << 15)))
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], names=[x.split()[0] for x in TOKEN_SCHEMA.split(", ")])
+            batch = zlib.crc32(ids.tobytes()) % BATCHES  # the same in every run
+            yield record_batch([(batch, ids.tobytes(), flags.tobytes(), lens.astype("<i4").tobytes(), sums.astype("<f8").tobytes(), _pack(cls[at]), _pack((ctx[at] | once.astype("<u4") << 31).astype("<u4")))], TOKEN_SCHEMA)
 
     return run
 
 
-def _chunks(batches):
-    """ids, flags, lens, sums, classes, seen-once flags, and the three feature rows of every token."""
+def _chunks(batches, size: int):
+    """ids, flags, lens, sums, classes, seen-once flags, and the three feature rows (of size rows each) of every token."""
     for b in batches:
-        for ids, flags, lens, sums, classes, contexts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for _, ids, flags, lens, sums, classes, contexts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             lens = np.frombuffer(lens, dtype="<i4").astype(np.int64)
-            x = _unpack(contexts, np.uint16)
-            once, ctx = x >> 15 == 1, (x & 0x7FFF).astype(np.int64)
+            x = _unpack(contexts, "<u4")
+            once, ctx = x >> 31 == 1, (x & 0x7FFFFFFF).astype(np.int64)
             start = np.cumsum(lens) - lens
             p1 = np.concatenate(([0], ctx[:-1]))
             p1[start] = 0
             p2 = np.concatenate(([0], p1[:-1]))
             p2[start] = 0
-            rows = np.stack([p1 % ROWS, ROWS + (p1 * 40_503 + p2 * 9_973) % 65_521 % ROWS, 2 * ROWS + p2 % ROWS])
+            pair = ((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) >> 7) % 0x7FFFFFFF
+            rows = np.stack([p1 % size, size + pair % size, 2 * size + p2 % size])
             yield np.frombuffer(ids, dtype="<i8"), np.frombuffer(flags, dtype=np.uint8), lens, np.frombuffer(sums, dtype="<f8").reshape(3, -1), _unpack(classes, np.uint8).astype(np.int64), once, rows
 
 
@@ -189,36 +207,50 @@ def _slices(table: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "sums"])
 
 
-def _observed(batches):
-    """How often each feature row meets each class in training documents."""
-    out = np.zeros(FEATURES * ROWS * CLASSES)
-    for _, flags, lens, _, cls, once, rows in _chunks(batches):
+def _training(batches, size: int):
+    """Classes, seen-once flags and feature rows of the training tokens, in pieces of STEP_TOKENS."""
+    for _, flags, lens, _, cls, once, rows in _chunks(batches, size):
         use = np.repeat(flags & 1 == 1, lens)
-        w = np.where(once[use], 0.5, 1.0)
-        for r in rows:
-            r = r[use] * CLASSES
-            out += np.bincount(r + cls[use], w, len(out))
-            rare = once[use]
-            out += np.bincount(r[rare] + UNKNOWN, np.full(rare.sum(), 0.5), len(out))
-    yield from _slices(out.reshape(-1, CLASSES))
+        cls, once, rows = cls[use], once[use], rows[:, use]
+        for a in range(0, len(cls), STEP_TOKENS):
+            yield cls[a : a + STEP_TOKENS], once[a : a + STEP_TOKENS], rows[:, a : a + STEP_TOKENS]
 
 
-def _expected(theta, bias):
-    """How often the model expects each feature row to meet each class in training documents."""
+def _add_seen(out: np.ndarray, cls: np.ndarray, once: np.ndarray, rows: np.ndarray) -> None:
+    """Adds how often each feature row meets each class; a word seen once is half its class, half unknown. out is flat."""
+    w = np.where(once, 0.5, 1.0)
+    for r in rows:
+        at = np.concatenate([r * CLASSES + cls, r[once] * CLASSES + UNKNOWN])
+        np.add.at(out, at, np.concatenate([w, np.full(int(once.sum()), 0.5)]))
 
+
+def _observed(size: int):
+    @trimmed
+    def run(batches):
+        out = np.zeros(FEATURES * size * CLASSES)
+        for cls, once, rows in _training(batches, size):
+            _add_seen(out, cls, once, rows)
+        yield from _slices(out.reshape(-1, CLASSES))
+
+    return run
+
+
+def _gradient(theta, bias, size: int):
+    """What is there less what the model expects, for every feature row and class."""
+
+    @trimmed
     def run(batches):
         t, b = theta.value, bias.value
-        out = np.zeros((FEATURES, CLASSES, ROWS))
-        for _, flags, lens, _, _, _, rows in _chunks(batches):
-            rows = rows[:, np.repeat(flags & 1 == 1, lens)]
-            for a in range(0, rows.shape[1], STEP_TOKENS):
-                r = rows[:, a : a + STEP_TOKENS]
-                p = np.ascontiguousarray(_probabilities(t, b, r).T)
-                for f, x in enumerate(r):
-                    x = x - f * ROWS
-                    for c in range(CLASSES):
-                        out[f, c] += np.bincount(x, p[c], ROWS)
-        yield from _slices(out.transpose(0, 2, 1).reshape(-1, CLASSES))
+        seen = np.zeros(FEATURES * size * CLASSES)
+        expected = np.zeros((FEATURES, CLASSES, size))
+        for cls, once, rows in _training(batches, size):
+            _add_seen(seen, cls, once, rows)
+            p = np.ascontiguousarray(_probabilities(t, b, rows).T)
+            for f, x in enumerate(rows):
+                at, x = np.unique(x - f * size, return_inverse=True)  # few rows of a large table meet a piece
+                for c in range(CLASSES):
+                    expected[f, c, at] += np.bincount(x, p[c], len(at))
+        yield from _slices(seen.reshape(-1, CLASSES) - expected.transpose(0, 2, 1).reshape(-1, CLASSES))
 
     return run
 
@@ -234,38 +266,46 @@ def _total(batches):
             else:
                 sums[k] = x
     for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<f8").tobytes()], pa.binary())], names=["slice", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["slice", "sums"])
 
 
-def _gather(data: DataFrame, step) -> np.ndarray:
+def _gather(data: DataFrame, step, size: int) -> np.ndarray:
     """The sum over all tasks of a weight-sized table: added slice by slice, collected once (its size is the model's)."""
     rows = data.mapInArrow(step, "slice int, sums binary").repartition(min(SLICES, shuffle_partitions(data.sparkSession)), "slice").mapInArrow(_total, "slice int, sums binary").collect()
-    out = np.zeros((FEATURES * ROWS, CLASSES))
-    for k, part in enumerate(np.array_split(np.arange(FEATURES * ROWS), SLICES)):
+    out = np.zeros((FEATURES * size, CLASSES))
+    for k, part in enumerate(np.array_split(np.arange(FEATURES * size), SLICES)):
         for r in rows:
             if r["slice"] == k:
-                out[part] = np.frombuffer(r["sums"], dtype="<f8").reshape(-1, CLASSES)
+                out[part] = np.frombuffer(r["sums"], dtype="<f4").reshape(-1, CLASSES)
     return out
 
 
-def fit(data: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def fit(data: DataFrame, stats: Statistics, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Weights (feature rows x classes) and class biases."""
     sc = data.sparkSession.sparkContext
+    size = table_rows(stats.n)
     bias = np.log(stats.prior).astype(np.float32)
-    seen = _gather(data, _observed)
+    # a task sends a whole table: it gets tokens for many, and all cores a task as far as that allows
+    parts = data.rdd.getNumPartitions()
+    tasks = lambda n: min(parts, max(min(sc.defaultParallelism, 16), n // (size * 256)))
+    seen = _gather(data.coalesce(tasks(stats.n)), _observed(size), size)
     n = seen.sum(1, keepdims=True)
-    theta = np.log((seen + 20 * stats.prior) / ((n + 20) * stats.prior)) / FEATURES
-    for _ in range(rounds):
+    theta = np.log((seen + DAMPING * stats.prior) / ((n + DAMPING) * stats.prior)) / FEATURES
+    start = theta.copy()
+    for k in range(epochs * BATCHES):
         t, b = sc.broadcast(theta.astype(np.float32)), sc.broadcast(bias)
-        expected = _gather(data, _expected(t, b))
-        theta += np.log((seen + 2) / (expected + 2)) / FEATURES
+        some = data.where(F.col("batch") == k % BATCHES).coalesce(tasks(stats.n // BATCHES))
+        g = _gather(some, _gradient(t, b, size), size) * BATCHES - DAMPING / 4 * (theta - start)
+        theta += RATE / FEATURES * g / (np.maximum(seen, np.abs(g)) + DAMPING)
+        t.unpersist()
     return theta.astype(np.float32), bias
 
 
 def _score(theta, bias):
+    @trimmed
     def run(batches):
         t, b = theta.value, bias.value
-        for ids, flags, lens, sums, cls, _, rows in _chunks(batches):
+        for ids, flags, lens, sums, cls, _, rows in _chunks(batches, len(t) // FEATURES):
             log = np.empty(rows.shape[1])
             for a in range(0, rows.shape[1], STEP_TOKENS):
                 p = _probabilities(t, b, rows[:, a : a + STEP_TOKENS])
@@ -277,7 +317,7 @@ def _score(theta, bias):
     return run
 
 
-def score_texts(docs: DataFrame, learn: Column | None = None, rounds: int = ROUNDS, chars: int = BLOCK_CHARS) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column | None = None, epochs: int = EPOCHS, chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     learn says which rows train (default: crc32(doc_id as text) mod 10 is not
@@ -289,14 +329,14 @@ def score_texts(docs: DataFrame, learn: Column | None = None, rounds: int = ROUN
     spark = docs.sparkSession
     flag = crc_bucket(F.col("doc_id"), 10) != 0 if learn is None else learn
     flag = F.when(F.col("doc_id").isNull(), False).otherwise(flag)
-    n = shuffle_partitions(spark)
-    parts = max(n, docs.rdd.getNumPartitions())
+    parts = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     words, texts = block_tables(docs, parts, tokens, flag, chars)
-    words = words.repartition(n, "part").sortWithinPartitions("part", "block")
+    words = words.repartition(parts, "part").sortWithinPartitions("part", "block")
     found = materialise(words.mapInArrow(_count, COUNT_SCHEMA), "counts")
     partly = found.where("block = -1").select("a").mapInArrow(_added, "a binary").repartition(SLICES).mapInArrow(_added, "a binary")
     stats = Statistics([r["a"] for r in partly.collect()])  # a row a task of the last stage
-    data = materialise(meet(found.where("block >= 0"), texts, n).mapInArrow(_assemble(stats), TOKEN_SCHEMA), "tokens", GROUP_BYTES)
-    theta, bias = (spark.sparkContext.broadcast(x) for x in fit(data, stats, rounds))
+    data = materialise(meet(found.where("block >= 0"), texts, parts).mapInArrow(_assemble(stats), TOKEN_SCHEMA), "tokens", GROUP_BYTES)
+    release(found)
+    theta, bias = (spark.sparkContext.broadcast(x) for x in fit(data, stats, epochs))
     scored = data.mapInArrow(_score(theta, bias), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(stats.n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -138,6 +138,30 @@ def test_toxicity_on_held_out_texts(labelled):
     assert ((s >= toxicity.THRESHOLD) == (y == 1)).mean() > 0.95 and ((s >= 0) & (s <= 1)).all()
 
 
+def test_toxicity_is_learnt_by_training(labelled):
+    """The ranking comes from the training steps: more of them rank better, none rank by chance; order of words counts."""
+    texts, labels = labelled
+    y = np.array(labels[700:])
+
+    def auc(epochs):
+        z = toxicity.TextCNN().fit(texts[:700], labels[:700], epochs=epochs).marker()(texts[700:])[0]
+        return np.mean(z[y == 1][:, None] > z[y == 0][None, :])
+
+    assert auc(0) < 0.75 and auc(10) > 0.97
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    pairs, kinds = [], []
+    for i in range(800):
+        w = list(r.choice(words, 12))
+        k = int(r.integers(11))
+        w[k : k + 2] = ["qaz", "plok"] if i % 2 else ["plok", "qaz"]
+        pairs.append(" ".join(w))
+        kinds.append(i % 2)
+    z = toxicity.TextCNN().fit(pairs[:600], kinds[:600]).marker()(pairs[600:])[0]
+    y = np.array(kinds[600:])
+    assert np.mean(z[y == 1][:, None] > z[y == 0][None, :]) > 0.95  # no filter of width one can tell these apart
+
+
 def test_toxicity_rows(spark, docs, odd_docs, no_docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = toxicity.classify(docs, labels).collect()
@@ -198,11 +222,21 @@ def test_lm(docs, chars):
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
 
 
+def test_lm_training_raises_the_likelihood(docs):
+    """Gradient steps on the training text; and the table grows with the tokens."""
+    total = {}
+    for epochs in (0, 1, 3):
+        rows = lm.score_texts(docs, epochs=epochs).where("not held_out").collect()
+        total[epochs] = sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+    assert total[0] + 0.01 < total[1] < total[3]
+    assert [lm.table_rows(n) for n in (0, 10**6, 10**8, 10**10)] == [lm.ROWS, lm.ROWS, 8192, 65536]
+
+
 def test_lm_probabilities_add_up(spark, docs):
     """The classes of a history add up to one, and so do the words of a class."""
     r = np.random.default_rng(0)
-    theta, bias = r.normal(size=(lm.FEATURES * lm.ROWS, lm.CLASSES)).astype(np.float32), r.normal(size=lm.CLASSES).astype(np.float32)
-    rows = np.stack([r.integers(0, lm.ROWS, 50) + k * lm.ROWS for k in range(3)])
+    theta, bias = r.normal(size=(lm.FEATURES * 64, lm.CLASSES)).astype(np.float32), r.normal(size=lm.CLASSES).astype(np.float32)
+    rows = np.stack([r.integers(0, 64, 50) + k * 64 for k in range(3)])
     assert lm._probabilities(theta, bias, rows).sum(1) == pytest.approx(np.ones(50), abs=1e-5)
     c = np.array([1, 1, 2, 5, 40, 300, 7])
     f = np.array([k % 2 for k in range(7)]) | 3 << 8
