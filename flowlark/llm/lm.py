@@ -44,8 +44,8 @@ SLICES = 48
 STEP_TOKENS = 16_384
 #: The training chunks are dealt into so many batches, one a gradient step; EPOCHS times all of them.
 BATCHES = 4
-EPOCHS = 2
-RATE = 0.6
+EPOCHS = 1
+RATE = 1.0
 #: Weights are drawn to their start as if each had been seen so often.
 DAMPING = 20
 #: Row groups of the token table, so that its reads are split evenly.
@@ -208,12 +208,13 @@ def _slices(table: np.ndarray):
 
 
 def _training(batches, size: int):
-    """Classes, seen-once flags and feature rows of the training tokens, in pieces of STEP_TOKENS."""
+    """Classes, seen-once flags and feature rows of the training tokens, in pieces of many tokens a row."""
+    step = 8 * size
     for _, flags, lens, _, cls, once, rows in _chunks(batches, size):
         use = np.repeat(flags & 1 == 1, lens)
         cls, once, rows = cls[use], once[use], rows[:, use]
-        for a in range(0, len(cls), STEP_TOKENS):
-            yield cls[a : a + STEP_TOKENS], once[a : a + STEP_TOKENS], rows[:, a : a + STEP_TOKENS]
+        for a in range(0, len(cls), step):
+            yield cls[a : a + step], once[a : a + step], rows[:, a : a + step]
 
 
 def _add_seen(out: np.ndarray, cls: np.ndarray, once: np.ndarray, rows: np.ndarray) -> None:
@@ -247,9 +248,9 @@ def _gradient(theta, bias, size: int):
             _add_seen(seen, cls, once, rows)
             p = np.ascontiguousarray(_probabilities(t, b, rows).T)
             for f, x in enumerate(rows):
-                at, x = np.unique(x - f * size, return_inverse=True)  # few rows of a large table meet a piece
+                x = x - f * size
                 for c in range(CLASSES):
-                    expected[f, c, at] += np.bincount(x, p[c], len(at))
+                    expected[f, c] += np.bincount(x, p[c], size)
         yield from _slices(seen.reshape(-1, CLASSES) - expected.transpose(0, 2, 1).reshape(-1, CLASSES))
 
     return run
