@@ -18,7 +18,7 @@ SIMILARITY = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
 #: A task remembers the hashes of so many words.
-CACHE = 100_000
+CACHE = 300_000
 
 
 def bands_rows(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
