@@ -204,7 +204,7 @@ class TextCNN:
             col += k * FILTERS
         return float(np.maximum(np.concatenate(top), 0) @ self.v + self.c)
 
-    def marker(self, most: int = 50_000):
+    def marker(self, most: int = 100_000):
         """A function from texts to their logits and languages. It keeps at most so many words."""
         state: dict = {}
 
@@ -226,7 +226,7 @@ class TextCNN:
 
         return mark
 
-    def scorer(self, most: int = 50_000):
+    def scorer(self, most: int = 100_000):
         """A function from texts to scores in 0 to 1, where THRESHOLD is each language's threshold. It keeps at most so many words."""
         mark = self.marker(most)
 
