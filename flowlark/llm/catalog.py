@@ -76,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_archives": warc.SQL,
     "op5_mix_sources": mixing.SQL,
     "op6_line_dedup": linededup.SQL,
+    "op9_ngram_jaccard_join": ngramjoin.SQL,
+    "op10_embedding_near_dedup": embeddings.SQL,
 }

@@ -144,3 +144,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     rows = signed.select("vec_id", F.col("hash").alias("v_hash")).join(known, F.col("v_hash") == F.col("hash"), "left")
     part = F.when(F.col("class_key").isNull(), F.col("vec_id")).otherwise(key_id(F.col("component")))
     return rows.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), part.alias("component_id"), F.col("vec_id").eqNullSafe(part).alias("kept"))
+
+
+#: All pairs, exactly: the operator's result where its recall is whole.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT r, x, len(x) AS d FROM v
+      WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND a.d = b.d WHERE list_cosine_similarity(a.x, b.x) >= {COSINE}),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a),
+c AS (SELECT reach.a, min(v.vec_id) AS least FROM reach JOIN v ON reach.b = v.r GROUP BY reach.a),
+o AS (SELECT vec_id, coalesce(links, 0) AS n_links, CASE WHEN n.a IS NULL THEN vec_id ELSE c.least END AS component_id
+      FROM v LEFT JOIN n ON v.r = n.a LEFT JOIN c ON v.r = c.a)
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM o
+"""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.llm.bucketjoin import grouped, key_id, members, resolve, row_key, verify
-from flowlark.llm.common import bounded_batches, materialise, release, trimmed, words_of
+from flowlark.llm.common import WORD_RE, bounded_batches, materialise, release, trimmed, words_of
 
 N = 5
 SIMILARITY = 0.8
@@ -176,3 +176,23 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     text = F.coalesce(F.col("text"), F.lit(""))
     out = groups(docs.select(text_key(F.col("doc_id"), text).alias("key"), text.alias("text")), n, similarity, recall)
     return out.select(key_id(F.col("key")).alias("doc_id"), "n_grams", key_id(F.col("class_key")).alias("class_id"), F.col("links").alias("n_links"), key_id(F.col("component")).alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+#: All pairs that share a gram, exactly: the operator's result where its recall is whole.
+SQL = f"""
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS tie, regexp_extract_all(coalesce(text, ''), '{WORD_RE}') AS w FROM documents),
+s AS (SELECT r, doc_id, tie, list_sort(list_distinct([array_to_string(w[i : i + least({N}, len(w)) - 1], ' ') for i in range(1, greatest(len(w) - {N} + 1, least(len(w), 1)) + 1)])) AS g FROM p),
+h AS MATERIALIZED (SELECT r, doc_id, tie, len(g) AS n_grams, md5(array_to_string(g, chr(10))) AS k, g FROM s),
+k AS MATERIALIZED (SELECT k, any_value(g) AS g, any_value(n_grams) AS n, count(*) AS weight, min(doc_id) AS class_id FROM h GROUP BY k),
+f AS MATERIALIZED (SELECT k, n, unnest(g) AS gram FROM k),
+j AS (SELECT a.k AS a, b.k AS b, a.n + b.n - count(*) AS whole, count(*) AS common FROM f a JOIN f b ON a.gram = b.gram AND a.k < b.k AND a.n <= b.n / {SIMILARITY} + 1 AND b.n <= a.n / {SIMILARITY} + 1 GROUP BY a.k, a.n, b.k, b.n),
+y AS (SELECT a, b FROM j WHERE common >= {SIMILARITY} * whole - 1e-9),
+l AS MATERIALIZED (SELECT a, b FROM y UNION ALL SELECT b, a FROM y),
+reach AS (SELECT k AS a, k AS b FROM k UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+n AS (SELECT l.a, sum(k.weight) AS links FROM l JOIN k ON l.b = k.k GROUP BY l.a),
+m AS (SELECT a, min(b) AS part FROM reach GROUP BY a),
+d AS (SELECT h.doc_id, h.n_grams, k.class_id, k.weight - 1 + coalesce(n.links, 0) AS n_links,
+             min(h.doc_id) OVER (PARTITION BY m.part) AS component_id, rank() OVER (PARTITION BY m.part ORDER BY h.doc_id NULLS LAST, h.tie) = 1 AS kept
+      FROM h JOIN k ON h.k = k.k JOIN m ON h.k = m.a LEFT JOIN n ON h.k = n.a)
+SELECT doc_id, n_grams, class_id, n_links::BIGINT AS n_links, component_id, kept FROM d
+"""

@@ -228,3 +228,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     later = large.join(tops, "digest").where(~F.col("page_id").eqNullSafe(F.col("top"))).select("page_id", "digest", F.col("top").alias("refers_to")).distinct()
     later = later.withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
     return rows.join(later, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, CASE WHEN payload_bytes >= {MIN_REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t
+"""

@@ -10,7 +10,8 @@ from flowlark.llm import catalog, linededup, mixing
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for view in ("documents", "pages", "embeddings"):
+        con.sql(f"create view {view} as select * from '{sf_dir}/{view}.parquet'")
     want = sorted(con.sql(catalog.ORACLES[name]).fetchall(), key=str)
     cols = [d[0] for d in con.sql(catalog.ORACLES[name]).description]
     assert sorted((tuple(r) for r in catalog.QUERIES[name](spark, sf_dir).select(*cols).collect()), key=str) == want
