@@ -10,6 +10,7 @@ from pyspark.sql.types import StructField, StructType
 
 from flowlark.functions import decode, net, payloads
 from flowlark.operators import anomaly, capture, flow, ticks
+from flowlark.plans import fold_sql
 from flowlark.plans.bpf import compile_filter
 from flowlark.sources.packets import PACKETS_SQL, frames, packets
 from flowlark.sources.synthetic import synthetic_flows as synthetic
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH packets AS ({PACKETS_SQL}), {_KEYED}, {sql.strip()}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE packets AS ({PACKETS_SQL}), {_KEYED}, {sql.strip()}"
         return f
 
     return add
@@ -164,7 +165,7 @@ def flow_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.remaining(packets(spark, sf_dir), TIMEOUT_US)
 
 
-@query()
+@query(fold_sql.evictions(60_000_000, 500))
 def flow_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.evictions(packets(spark, sf_dir), 60_000_000, 500)
 
@@ -190,7 +191,7 @@ def tick_top_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.top_flows(packets(spark, sf_dir), 10)
 
 
-@query()
+@query(f"{_TICK}, {fold_sql.carry_over(10)}")
 def tick_top_flows_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.top_flows_carry(packets(spark, sf_dir), 10)
 
@@ -200,7 +201,7 @@ def top_flows_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.top_flows_total(packets(spark, sf_dir), 10)
 
 
-@query()
+@query(f"{_TICK}, {fold_sql.space_saving(40)}")
 def spacesaving_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.space_saving(packets(spark, sf_dir), 10)
 
@@ -226,17 +227,19 @@ def port_scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.scan_candidates(packets(spark, sf_dir), **SCAN).select("id", "n_ports", "n_hosts")
 
 
-@query()
+@query(f"{fold_sql.floods(**FLOOD)} SELECT * FROM floods")
 def syn_flood_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.flood_alerts(packets(spark, sf_dir), **FLOOD)
 
 
-@query()
+@query(f"{fold_sql.scans(**SCAN)} SELECT * FROM scans")
 def port_scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.scan_alerts(packets(spark, sf_dir), **SCAN)
 
 
-@query()
+@query(f"""{fold_sql.floods(**FLOOD)}, {fold_sql.scans(**SCAN)}
+SELECT id, ts_us / 1e6 AS ts, 'syn_flood' AS kind, concat('SYN flood suspected: ', n1, ' syns, ', n2, ' sources to ', {_ip('dst_ip')}, ':', dst_port) AS description FROM floods
+UNION ALL SELECT id, ts_us / 1e6, 'port_scan', concat('Port scan suspected: ', n1, ' ports, ', n2, ' hosts from ', {_ip('src_ip')}) FROM scans""")
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
     return anomaly.describe(anomaly.flood_alerts(p, **FLOOD), anomaly.scan_alerts(p, **SCAN))
@@ -423,7 +426,7 @@ def flow_csv_export_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.csv_lines(flow.full_table(packets(spark, sf_dir)))
 
 
-@query(ORACLES["flow_table_full"].removeprefix(f"WITH packets AS ({PACKETS_SQL}), {_KEYED}, "))
+@query(ORACLES["flow_table_full"].removeprefix(f"WITH RECURSIVE packets AS ({PACKETS_SQL}), {_KEYED}, "))
 def flow_json_export_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of the full table, read back from its JSON."""
     table = flow.full_table(packets(spark, sf_dir))
@@ -485,7 +488,7 @@ def _in_files(frames_: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.row_number().over(Window.partitionBy("file").orderBy("id")).cast("long"))
 
 
-@query(ORACLES["flow_table_full"].removeprefix(f"WITH packets AS ({PACKETS_SQL}), {_KEYED}, "))
+@query(ORACLES["flow_table_full"].removeprefix(f"WITH RECURSIVE packets AS ({PACKETS_SQL}), {_KEYED}, "))
 def flow_table_three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows whose packets are spread over rotated captures: one numbering, so first and last, states and round trips are those of the whole."""
     rows = capture.numbered(_in_files(frames(packets(spark, sf_dir))))
