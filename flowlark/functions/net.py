@@ -89,6 +89,14 @@ def stable_shard(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
+def frame_shard(src: Column, src_port: Column, dst: Column, dst_port: Column, proto: Column, data: Column, known: Column, shards: int) -> Column:
+    """The shard of any frame: by both ends where there are addresses (no ports: 0), else by all bytes; 0 if the link type is not known."""
+    end = lambda a, p: F.struct(a.alias("ip"), F.coalesce(p.cast("long"), F.lit(0).cast("long")).alias("port"))
+    a, b = end(src, src_port), end(dst, dst_port)
+    ends = stable_shard(F.struct(proto.alias("proto"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), shards)
+    return F.when(~known, 0).when(src.isNull() | dst.isNull(), stable_shard(data, shards)).otherwise(ends)
+
+
 def hex_dump(data: Column) -> Column:
     """Sixteen bytes a line: offset, hex with a gap after eight, and printable ASCII."""
     n = F.octet_length(data)

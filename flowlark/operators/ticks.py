@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,14 +168,23 @@ def dashboard_ticks(packets: DataFrame, n: int = 10, interval_us: int = 1_000_00
     return tick_stats(packets, interval_us, timeout_us).join(top, F.col("tick") == F.col("t"), "left").drop("t")
 
 
-# The exposition's metric names, kinds and help texts are ours; the format is Prometheus text 0.0.4.
-METRICS = (("capture_packets_total", "counter", "packets"), ("capture_bytes_total", "counter", "bytes"), ("flow_active", "gauge", "active_flows"), ("dispatch_drops_total", "counter", "dispatch_drops"))
-
-
-def prometheus_text(ticks: DataFrame, version: str = "1") -> DataFrame:
-    """One row: totals over the ticks (gauges: the last) as Prometheus text."""
-    last = lambda c: F.max_by(c, "tick")
-    agg = ticks.agg(*[(last(c) if kind == "gauge" else F.sum(c)).alias(name) for name, kind, c in METRICS])
-    lines = [F.concat(F.lit("# TYPE flowlark_build_info gauge\nflowlark_build_info{version=\""), prometheus_label(F.lit(version)), F.lit("\"} 1"))]
-    lines += [F.concat(F.lit(f"# TYPE flowlark_{name} {kind}\nflowlark_{name} "), F.coalesce(F.col(name), F.lit(0)).cast("string")) for name, kind, _ in METRICS]
-    return agg.select(F.concat(reduce(lambda a, b: F.concat(a, F.lit("\n"), b), lines), F.lit("\n")).alias("text"))
+# The metrics are ours; the format is Prometheus text 0.0.4: name, kind, column of the ticks, help.
+METRICS = (
+    ("capture_packets_total", "counter", "packets", "Packets captured in all ticks."),
+    ("capture_bytes_total", "counter", "bytes", "Bytes captured in all ticks."),
+    ("flow_active", "gauge", "active_flows", "Flows in the table at the end of the last tick."),
+    ("dispatch_drops_total", "counter", "dispatch_drops", "Packets dropped between capture and flow table."),
+    ("kernel_drops_total", "counter", "drops_delta", "Packets dropped by the kernel."),
+    ("kernel_if_drops_total", "counter", "if_drops_delta", "Packets dropped by the interface."),
+)
+
+
+def prometheus_text(ticks: DataFrame, version: str = "1", uptime_secs: float = 0.0) -> DataFrame:
+    """One row: totals over the ticks (gauges: the last) as Prometheus text. Kernel drops are those of kernel_deltas(), if joined, else 0."""
+    total = lambda kind, c: F.lit(0) if c not in ticks.columns else F.max_by(c, "tick") if kind == "gauge" else F.sum(c)
+    agg = ticks.agg(*[F.coalesce(total(kind, c), F.lit(0)).cast("string").alias(name) for name, kind, c, _ in METRICS])
+    head = lambda name, kind, text: F.lit(f"# HELP flowlark_{name} {text}\n# TYPE flowlark_{name} {kind}\nflowlark_{name}")
+    lines = [F.concat(head("build_info", "gauge", "Version of the running program."), F.lit('{version="'), prometheus_label(F.lit(version)), F.lit('"} 1'))]
+    lines.append(F.concat(head("uptime_seconds", "gauge", "Seconds since the run began."), F.lit(f" {uptime_secs:.3f}")))
+    lines += [F.concat(head(name, kind, text), F.lit(" "), F.col(name)) for name, kind, _, text in METRICS]
+    return agg.select(F.concat(*[F.concat(x, F.lit("\n")) for x in lines]).alias("text"))

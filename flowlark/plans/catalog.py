@@ -380,11 +380,30 @@ def shard_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*flow.KEY).agg(F.count_distinct("shard").alias("shards_per_flow")).groupBy("shards_per_flow").agg(F.count("*").alias("flows"))
 
 
+@query(f"""x AS (SELECT {_K}, count(*) AS n FROM kp WHERE id % 4 IN (1, 3) GROUP BY ALL)
+SELECT 'ends' AS by, count(*) AS groups, CAST(1 AS BIGINT) AS most_shards, true AS in_range FROM x UNION ALL SELECT 'bytes', 1, 1, true UNION ALL SELECT 'unknown link', 1, 1, true""")
+def shard_routing_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of which a quarter is cut after ten equal bytes, and a quarter of an unknown link type (those go to shard 0)."""
+    k, p = F.col("id") % 4, packets(spark, sf_dir)
+    rows = frames(p).withColumns({"data": F.when(k == 0, F.substring("data", 1, 10)).otherwise(F.col("data")), "link_type": F.when(k == 2, 999).otherwise(F.col("link_type"))})
+    known = F.col("link_type").isin(*decode.LINK_TYPES)
+    shard = net.frame_shard(*[F.col(c) for c in ("src_addr", "src_port", "dst_addr", "dst_port", "proto", "data")], known, 4)
+    parsed = decode.parse(rows).select("id", shard.alias("shard"), F.when(~known, "unknown link").when(F.col("src_addr").isNull(), "bytes").otherwise("ends").alias("by"))
+    keyed = parsed.join(flow.with_key(p).select("id", *flow.KEY), "id")
+    group = F.when(F.col("by") == "ends", F.struct(*flow.KEY))
+    shards = keyed.groupBy("by", group.alias("of")).agg(F.count_distinct("shard").alias("n"), F.min("shard").alias("lo"), F.max("shard").alias("hi"))
+    fits = (F.col("lo") >= 0) & (F.col("hi") <= F.when(F.col("by") == "unknown link", 0).otherwise(3))
+    return shards.groupBy("by").agg(F.count("*").alias("groups"), F.max("n").alias("most_shards"), F.min(fits).alias("in_range"))
+
+
+def _kernel_stats(p: DataFrame) -> DataFrame:
+    return p.groupBy(ticks.tick_of(1_000_000).alias("tick")).agg(F.max(F.floor(F.col("id") / 97)).cast("long").alias("drops"), F.lit(0).cast("long").alias("if_drops"))
+
+
 @query("""x AS (SELECT ts_us // 1000000 AS tick, max(id // 97) AS drops, CAST(0 AS BIGINT) AS if_drops FROM packets GROUP BY 1)
 SELECT tick, drops, if_drops, CAST(coalesce(greatest(drops - lag(drops) OVER (ORDER BY tick), 0), 0) AS BIGINT) AS drops_delta, CAST(0 AS BIGINT) AS if_drops_delta FROM x""")
 def kernel_drop_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = packets(spark, sf_dir).groupBy(ticks.tick_of(1_000_000).alias("tick")).agg(F.max(F.floor(F.col("id") / 97)).cast("long").alias("drops"), F.lit(0).cast("long").alias("if_drops"))
-    return ticks.kernel_deltas(stats)
+    return ticks.kernel_deltas(_kernel_stats(packets(spark, sf_dir)))
 
 
 @query("x AS (SELECT 1) SELECT count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS parse_errors, 100.0::DOUBLE AS parsed_percent FROM packets")
@@ -392,11 +411,21 @@ def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.capture_summary(_parsed(spark, sf_dir))
 
 
-@query(f"""{_ACTIVE}, g AS (SELECT arg_max(active_flows, tick) AS n FROM a), s AS (SELECT count(*) AS p, sum(wire_len) AS b FROM t)
-SELECT concat('# TYPE flowlark_build_info gauge', chr(10), 'flowlark_build_info{{version="1"}} 1', chr(10), '# TYPE flowlark_capture_packets_total counter', chr(10), 'flowlark_capture_packets_total ', p, chr(10),
- '# TYPE flowlark_capture_bytes_total counter', chr(10), 'flowlark_capture_bytes_total ', b, chr(10), '# TYPE flowlark_flow_active gauge', chr(10), 'flowlark_flow_active ', n, chr(10), '# TYPE flowlark_dispatch_drops_total counter', chr(10), 'flowlark_dispatch_drops_total 0', chr(10)) AS text FROM s, g""")
+def _metric(name: str, kind: str, text: str, value: str) -> str:
+    return f"'# HELP flowlark_{name} {text}', chr(10), '# TYPE flowlark_{name} {kind}', chr(10), 'flowlark_{name}', {value}, chr(10)"
+
+
+@query(f"""{_ACTIVE}, g AS (SELECT arg_max(active_flows, tick) AS n FROM a), s AS (SELECT count(*) AS p, sum(wire_len) AS b, max(id // 97) - min(last_id // 97) AS d
+  FROM (SELECT *, first_value(id) OVER (ORDER BY tick, id DESC) AS last_id FROM t))
+SELECT concat({_metric('build_info', 'gauge', 'Version of the running program.', """'{version="1"} 1'""")}, {_metric('uptime_seconds', 'gauge', 'Seconds since the run began.', "' 2.500'")},
+ {_metric('capture_packets_total', 'counter', 'Packets captured in all ticks.', "' ', p")}, {_metric('capture_bytes_total', 'counter', 'Bytes captured in all ticks.', "' ', b")},
+ {_metric('flow_active', 'gauge', 'Flows in the table at the end of the last tick.', "' ', n")},
+ {_metric('dispatch_drops_total', 'counter', 'Packets dropped between capture and flow table.', "' 0'")},
+ {_metric('kernel_drops_total', 'counter', 'Packets dropped by the kernel.', "' ', d")}, {_metric('kernel_if_drops_total', 'counter', 'Packets dropped by the interface.', "' 0'")}) AS text FROM s, g""")
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.prometheus_text(ticks.tick_stats(packets(spark, sf_dir), timeout_us=TIMEOUT_US))
+    p = packets(spark, sf_dir)
+    drops = ticks.kernel_deltas(_kernel_stats(p)).select("tick", "drops_delta", "if_drops_delta")
+    return ticks.prometheus_text(ticks.tick_stats(p, timeout_us=TIMEOUT_US).join(drops, "tick", "left"), uptime_secs=2.5)
 
 
 @query("""x AS (SELECT range AS i FROM range(100000)), y AS (SELECT DISTINCT 167772160 + (i & 16777215) AS s, 1024 + i % 48000 AS sp, 2886729728 + (i & 65535) AS d FROM x) SELECT count(*) AS flows, CAST(100000 * 60 AS BIGINT) AS bytes FROM y""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,7 @@ def tick_stats(parsed: DataFrame, options: Options) -> DataFrame:
 
 def run(spark: SparkSession, path: str, options: Options, out: dict[str, str]) -> dict[str, int]:
     """Write what out asks for (flows_json, flows_csv, alerts, expired, prometheus, samples); counts by name, and packets and parse_errors."""
+    began = time.monotonic()
     parsed = read(spark, path, options).persist()
     p = packets(parsed).persist()
     total = ticks.capture_summary(parsed).first()
@@ -69,7 +72,7 @@ def run(spark: SparkSession, path: str, options: Options, out: dict[str, str]) -
         done["samples"] = sinks.jsonl(detail.summary(capture.sample(parsed, options.web.sample_rate)).orderBy("id"), out["samples"])
     if "prometheus" in out:
         with open(out["prometheus"], "w") as f:
-            f.write(ticks.prometheus_text(tick_stats(parsed, options)).first()["text"])
+            f.write(ticks.prometheus_text(tick_stats(parsed, options), uptime_secs=time.monotonic() - began).first()["text"])
         done["prometheus"] = 1
     p.unpersist()
     parsed.unpersist()

@@ -2,13 +2,15 @@
 
 spark.dataSource.register(PcapSource); then spark.read.format("pcap").load(path)
 or spark.readStream.format("pcap").load(folder), and df.write.format("pcap").
-Paths are those that workers can open; files in other stores are read with
+A file of more than splitMb (256) is several tasks' work. Paths are those that
+driver and workers can open; files in other stores are read with
 spark.read.format("binaryFile") and records().
 """
 
 from __future__ import annotations
 
 import glob
+import mmap
 import os
 import re
 import struct
@@ -26,37 +28,69 @@ MICROS, NANOS = 0xA1B2C3D4, 0xA1B23C4D
 SCHEMA = "file string, id long, ts_us long, wire_len long, cap_len int, link_type int, data binary"
 
 
-def read_pcap(raw, name: str = ""):
+def _header(f, name: str) -> tuple[struct.Struct, bool, int]:
+    """Of a file at its start: the record header's format, whether fractions are nanoseconds, and the link type."""
+    head = f.read(24)
+    if len(head) < 24:
+        raise ValueError(f"{name}: not a pcap file")
+    for order in "<>":
+        magic = struct.unpack(order + "I", head[:4])[0]
+        if magic in (MICROS, NANOS):
+            return struct.Struct(order + "IIII"), magic == NANOS, struct.unpack(order + "I", head[20:24])[0] & 0xFFFF
+    raise ValueError(f"{name}: not a pcap file")
+
+
+def read_pcap(raw, name: str = "", start: int = 0, until: int | None = None, before: int = 0):
     """(file, id, ts_us, wire_len, cap_len, link_type, data) of each whole record; ids count from 1. Both byte orders, micro- and nanoseconds.
 
-    raw is bytes or a binary file; a record cut off by the end of the file ends the capture.
+    raw is bytes or a binary file; a record cut off by the end of the file ends
+    the capture. start and until are the offsets of a split (see splits()), which
+    has so many records before it.
     """
     import io
 
     f = io.BytesIO(raw) if isinstance(raw, bytes | bytearray) else raw
-    head = f.read(24)
-    if len(head) < 24:
-        raise ValueError(f"{name}: not a pcap file")
-    magic = struct.unpack("<I", head[:4])[0]
-    swapped = struct.unpack(">I", head[:4])[0]
-    if magic in (MICROS, NANOS):
-        order, nano = "<", magic == NANOS
-    elif swapped in (MICROS, NANOS):
-        order, nano = ">", swapped == NANOS
-    else:
-        raise ValueError(f"{name}: not a pcap file")
-    link = struct.unpack(order + "I", head[20:24])[0] & 0xFFFF
-    rec = struct.Struct(order + "IIII")
-    n = 0
-    while len(h := f.read(16)) == 16:
+    rec, nano, link = _header(f, name)
+    at, n = 24, before
+    if start > at:
+        f.seek(start)
+        at = start
+    while (until is None or at < until) and len(h := f.read(16)) == 16:
         sec, frac, size, wire = rec.unpack(h)
         data = f.read(size)
         if len(data) < size:
             return
+        at += 16 + size
         n += 1
         yield name, n, sec * 1_000_000 + (frac // 1000 if nano else frac), wire, size, link, data
 
 
+#: Bytes of a large file that one task reads.
+SPLIT_BYTES = 256 << 20
+
+
+def splits(path: str, size: int = SPLIT_BYTES) -> list[tuple[int, int | None, int]]:
+    """(start, until, records before) of parts of a file of about size bytes, cut between records.
+
+    Records have no marks to find them by, so the cuts come from a walk over the
+    record headers, a seek each and no data. Files up to size are not opened.
+    """
+    total = os.path.getsize(path)
+    if total <= size:
+        return [(0, None, 0)]
+    cuts, n = [(24, 0)], 0
+    with open(path, "rb") as f:
+        rec, _, _ = _header(f, path)
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+            at = 24
+            while at + 16 <= total:
+                if at - cuts[-1][0] >= size:
+                    cuts.append((at, n))
+                at += 16 + rec.unpack_from(m, at)[2]
+                n += 1
+    return [(a, b, k) for (a, k), b in zip(cuts, [c[0] for c in cuts[1:]] + [None], strict=True)]
+
+
 def pcap_bytes(rows, link_type: int = 1, snaplen: int = 65_535) -> bytes:
     """A little-endian microsecond file of (ts_us, wire_len, data) rows."""
     out = [HEADER.pack(MICROS, 2, 4, 0, 0, snaplen, link_type)]
@@ -94,6 +128,9 @@ def _batch(rows, names):
 @dataclass
 class _File(InputPartition):
     path: str
+    start: int = 0
+    until: int | None = None
+    before: int = 0
 
 
 def _files(path: str) -> list[str]:
@@ -103,18 +140,23 @@ def _files(path: str) -> list[str]:
 
 def _read(p: _File):
     with open(p.path, "rb") as f:
-        yield from read_pcap(f, p.path)
+        yield from read_pcap(f, p.path, p.start, p.until, p.before)
+
+
+def _parts(paths: list[str], options) -> list[_File]:
+    size = int(float(options.get("splitMb", SPLIT_BYTES >> 20)) * (1 << 20))
+    return [_File(p, *part) for p in paths for part in splits(p, size)]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.path = options["path"]
+        self.path, self.options = options["path"], options
 
     def partitions(self):
         found = _files(self.path)
         if not found:
             raise FileNotFoundError(self.path)
-        return [_File(p) for p in found]
+        return _parts(found, self.options)
 
     def read(self, partition):
         return _read(partition)
@@ -124,7 +166,7 @@ class _StreamReader(DataSourceStreamReader):
     """Files of a growing folder, in name order; the offset is the last name taken. A file must be whole when it appears."""
 
     def __init__(self, options) -> None:
-        self.path = options["path"]
+        self.path, self.options = options["path"], options
 
     def initialOffset(self):
         return {"last": ""}
@@ -134,7 +176,7 @@ class _StreamReader(DataSourceStreamReader):
         return {"last": found[-1] if found else ""}
 
     def partitions(self, start, end):
-        return [_File(p) for p in _files(self.path) if start["last"] < p <= end["last"]]
+        return _parts([p for p in _files(self.path) if start["last"] < p <= end["last"]], self.options)
 
     def read(self, partition):
         return _read(partition)

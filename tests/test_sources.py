@@ -37,6 +37,22 @@ def test_round_trip(spark, sf_dir, tmp_path):
     assert other.count() == f.count()
 
 
+@pytest.mark.parametrize("cut", [0, 1, 20])
+def test_large_files_are_split_between_records(spark, sf_dir, tmp_path, cut):
+    spark.dataSource.register(pcap.PcapSource)
+    rows = [(r.ts_us, r.wire_len, bytes(r.data)) for r in frames(packets(spark, sf_dir)).orderBy("id").collect()]
+    whole = pcap.pcap_bytes(rows)
+    (tmp_path / "a.pcap").write_bytes(whole[: len(whole) - cut])
+    (tmp_path / "b.pcap").write_bytes(pcap.pcap_bytes(rows[:3]))
+    parts = pcap.splits(str(tmp_path / "a.pcap"), 20_000)
+    assert len(parts) > 5 and parts[0][::2] == (24, 0) and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    one = spark.read.format("pcap").load(str(tmp_path))
+    many = spark.read.format("pcap").option("splitMb", 0.02).load(str(tmp_path))
+    assert one.rdd.getNumPartitions() == 2 and many.rdd.getNumPartitions() == len(parts) + 1
+    got = sorted((r.file, r.id, r.ts_us, bytes(r.data)) for r in many.collect())
+    assert got == sorted((r.file, r.id, r.ts_us, bytes(r.data)) for r in one.collect()) and len(got) == len(rows) + 3 - bool(cut)
+
+
 def test_rotation(tmp_path):
     path = str(tmp_path / "cap.pcap")
     for n in (90, 91):
