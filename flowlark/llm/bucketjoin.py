@@ -165,19 +165,23 @@ def components(edges: DataFrame) -> DataFrame:
     """key and component (the least key reachable) of every key in edges (key, root) but the components' own: alternating large and small stars.
 
     Each round is a few joins on edges, written to the shared folder; rounds grow
-    with the logarithm of the longest path. A hub's edges are joined, never gathered.
+    with the logarithm of the longest path. A hub's edges are joined, never
+    gathered: the least neighbours come to the join in an exchange of their own
+    (their key is made anew), so that both sides are exchanges, which is what
+    adaptive execution needs to deal one key's edges over many tasks.
     """
+    anew = lambda c: F.concat(F.col(c), F.lit(b"")).alias("k")
     now = edges.select(F.greatest("key", "root").alias("a"), F.least("key", "root").alias("b")).where("a <> b").distinct()
     now = materialise(now, "edges")
     mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     was = mark(now)
     while was[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(anew("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least.select(anew("a"), "m"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialise(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small")
         release(now, large)
         now, mk = after, mark(after)
