@@ -94,9 +94,14 @@ class SlidingKey:
 
 
 def _alerts(rows: DataFrame, keys: list[str], values: list[str], window_us: int, cooldown_us: int, fires) -> DataFrame:
-    """A fold per key over its packets in order; rows must be cut to keys that can fire."""
+    """A fold per key over its packets in order; rows must be cut to keys that can fire.
+
+    Rows are dealt by a hash of the keys, not by the keys: where a join before this
+    is by the same keys Spark takes its exchange for ours, and adaptive execution may
+    then turn that join into one that reads a key's rows in several tasks.
+    """
     kinds = {k: address_kind(rows, k) for k in keys}
-    rows = rows.select(*keys, "id", "ts_us", *[F.col(v).alias(f"v_{v}") for v in values]).repartition(*keys).sortWithinPartitions(*keys, "id")
+    rows = rows.select(*keys, "id", "ts_us", *[F.col(v).alias(f"v_{v}") for v in values]).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "id")
     n = len(keys)
     names = ["id", "ts_us", *keys, "n1", "n2"]
     types = [pa.binary() if kinds.get(c) == "binary" else pa.int64() for c in names]

@@ -105,6 +105,25 @@ def test_alerts(spark):
     assert want and sorted(r.id for r in anomaly.flood_alerts(p, **f).collect()) == want
 
 
+def test_alerts_when_the_join_before_the_fold_turns_into_a_broadcast(spark, tmp_path):
+    p = packets(spark, "/root/testdata/sf0.01")
+    p.repartition(8, "id").write.parquet(str(tmp_path / "p"))
+    cut = spark.read.parquet(str(tmp_path / "p"))  # a key's packets are in all tasks of the scan
+    f, o = anomaly.SYN_FLOOD | {"syns": 6, "sources": 5}, anomaly.PORT_SCAN
+    # as for large tables whose join turns out small
+    late = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    want = [sorted(anomaly.flood_alerts(p, **f).collect()), sorted(anomaly.scan_alerts(p, **o).collect())]
+    was = {k: spark.conf.get(k, None) for k in late}
+    for k, v in late.items():
+        spark.conf.set(k, v)
+    try:
+        got = [sorted(anomaly.flood_alerts(cut, **f).collect()), sorted(anomaly.scan_alerts(cut, **o).collect())]
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert all(want) and got == want
+
+
 def test_eviction_without_a_cap_is_the_exact_timeout(spark, sf_dir):
     p = packets(spark, sf_dir)
     one = {(r.ts_us, r.a_ip, r.a_port, r.b_ip, r.b_port) for r in flow.evictions(p, 2_000_000, 0).collect()}
