@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ def clock_text(ts_us: Column) -> Column:
     return F.format_string("%02d:%02d:%02d.%06d", F.floor(sec / 3600), F.floor(sec / 60) % 60, sec % 60, day % 1_000_000)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double with so many decimals, as C's printf has it: its exact binary value rounded, ties to even.
+
+    format_string rounds up the ties of the shortest decimal that stands for the double, so it needs a batch function.
+    """
+
+    def batch(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.{digits}f}" for x in v.to_pylist()], pa.string())
+
+    return F.arrow_udf(batch, "string")(value.cast("double"))
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole).otherwise(0.0)
 

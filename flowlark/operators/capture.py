@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlark.functions.net import address_kind, clock_text, endpoint_text, flags_text, protocol_text
+from flowlark.functions.net import address_kind, clock_text, endpoint_text, fixed, flags_text, protocol_text
 
 
 def sample(packets: DataFrame, every: int) -> DataFrame:
@@ -63,12 +63,11 @@ def latest_frames(frames: DataFrame) -> DataFrame:
 
 def csv_lines(flows: DataFrame) -> DataFrame:
     """Flows as CSV lines: times with six decimals, rates and round trips with three, nulls empty."""
-    t = lambda c: F.format_string("%.6f", c)
-    m = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("")) if c != "avg_bps" else F.format_string("%.3f", c)
-    opt = lambda c: F.when(F.col(c).isNull(), "").otherwise(m(c))
+    t = lambda c: F.coalesce(fixed(F.col(c), 6), F.lit(""))
+    m = lambda c: F.coalesce(fixed(F.col(c), 3), F.lit(""))
     n = lambda c: F.col(c).cast("string")
     e = lambda c: F.coalesce(F.col(c), F.lit(""))
-    cols = [n("protocol"), n("a_ip"), n("a_port"), n("b_ip"), n("b_port"), t("first_seen"), t("last_seen"), t("duration_secs"), n("packets_a_to_b"), n("packets_b_to_a"), n("bytes_a_to_b"), n("bytes_b_to_a"), n("packets_total"), n("bytes_total"), m("avg_bps"), e("tcp_state"), e("client"), n("retransmissions"), n("out_of_order"), opt("rtt_last_ms"), opt("rtt_min_ms"), opt("rtt_ewma_ms"), n("rtt_samples")]
+    cols = [n("protocol"), n("a_ip"), n("a_port"), n("b_ip"), n("b_port"), t("first_seen"), t("last_seen"), t("duration_secs"), n("packets_a_to_b"), n("packets_b_to_a"), n("bytes_a_to_b"), n("bytes_b_to_a"), n("packets_total"), n("bytes_total"), m("avg_bps"), e("tcp_state"), e("client"), n("retransmissions"), n("out_of_order"), m("rtt_last_ms"), m("rtt_min_ms"), m("rtt_ewma_ms"), n("rtt_samples")]
     return flows.select(F.concat_ws(",", *cols).alias("line"))
 
 
