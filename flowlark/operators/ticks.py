@@ -56,7 +56,8 @@ def top_flows_carry(packets: DataFrame, n: int, interval_us: int = 1_000_000) ->
     """As top_flows, but bytes of flows that were not reported carry over to the next tick.
 
     Which flows are reported depends on all flows of all ticks before: one fold
-    over the per-tick sums in order, with the unreported flows as state.
+    over the per-tick sums in order, with the unreported flows as state, in a heap
+    so that a tick costs what it brings and reports, not what is unreported.
     """
     deltas = tick_deltas(packets, interval_us).select("tick", *KEY, "delta_bytes")
     ip = address_kind(deltas, "a_ip")
@@ -67,33 +68,49 @@ def top_flows_carry(packets: DataFrame, n: int, interval_us: int = 1_000_000) ->
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
+    def plain(c):
+        return c.to_numpy().tolist() if pa.types.is_integer(c.type) and not c.null_count else c.to_pylist()
+
     def run(batches):
-        import heapq
+        import gc
+        from heapq import heapify, heappop, heappush
 
-        at, owed = None, {}
+        gc.disable()  # the state is millions of tuples without cycles
+        at, owed, heap, rows = None, {}, [], []  # the heap has an entry for each sum that a flow had since it was reported; only its last counts
 
         def report():
-            top = heapq.nsmallest(n, ((-v, k) for k, v in owed.items() if v > 0))
-            for _, k in top:
-                del owed[k]
-            return [(at, *k, -v, r + 1) for r, (v, k) in enumerate(top)]
+            nonlocal heap
+            rank = 0
+            while heap and rank < n:
+                v, k = heappop(heap)
+                if owed.get(k) == -v:
+                    del owed[k]
+                    rank += 1
+                    rows.append((at, *k, -v, rank))
+            if len(heap) > 2 * len(owed) + 1000:
+                heap = [(-v, k) for k, v in owed.items() if v > 0]
+                heapify(heap)
 
-        rows = []
         for b in batches:
-            for tick, p, ai, ap, bi, bp, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at is not None and tick != at:
-                    rows += report()
-                at = tick
-                owed[p, ai, ap, bi, bp] = owed.get((p, ai, ap, bi, bp), 0) + v
+            for tick, p, ai, ap, bi, bp, v in zip(*map(plain, b.columns), strict=True):
+                if tick != at:
+                    if at is not None:
+                        report()
+                    at = tick
+                k = (p, ai, ap, bi, bp)
+                owed[k] = v = owed.get(k, 0) + v
+                if v > 0:
+                    heappush(heap, (-v, k))
             if len(rows) > 1000:
                 yield batch(rows)
                 rows = []
         if at is not None:
-            rows += report()
+            report()
+        gc.enable()
         if rows:
             yield batch(rows)
 
-    return deltas.repartition(1).sortWithinPartitions("tick", *KEY).mapInArrow(run, schema)
+    return deltas.repartition(1).sortWithinPartitions("tick").mapInArrow(run, schema)
 
 
 def space_saving(packets: DataFrame, n: int, interval_us: int = 1_000_000) -> DataFrame:

@@ -1,5 +1,6 @@
 """Closed forms and windows against a plain fold over packets in order."""
 
+import time
 from collections import defaultdict, deque
 
 from flowlark.operators import anomaly, flow, ticks
@@ -144,6 +145,14 @@ def test_carry_over(spark):
     assert got == [(0, 1, 10), (1, 2, 14)]
 
 
+def test_carry_over_costs_no_more_as_unreported_flows_pile_up(spark):
+    rows = spark.range(80_000).selectExpr("id", "id * 50000 ts_us", "17 proto", "id src_ip", "1L src_port", "1000000L dst_ip", "9L dst_port", "0 flags", "0L seq", "0L ack", "60 + id % 7 wire_len", "0L payload_len")
+    at = time.monotonic()
+    got = ticks.top_flows_carry(rows, 1).collect()  # 4,000 ticks of 20 new flows, of which one is reported
+    assert time.monotonic() - at < 40
+    assert len(got) == 4000 and [r.a_ip for r in sorted(got)] == [7 * i + 6 for i in range(4000)]
+
+
 def test_space_saving_keeps_heavy_flows(spark, sf_dir):
     p = packets(spark, sf_dir)
     exact = {(r.tick, r.a_ip, r.a_port, r.b_ip, r.b_port): r.delta_bytes for r in ticks.tick_deltas(p).collect()}
